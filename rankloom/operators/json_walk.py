@@ -5,14 +5,14 @@ from __future__ import annotations
 import json
 import sys
 
-sys.set_int_max_str_digits(0)
-
 
 def _no_constant(text: str):
     raise ValueError(f"{text} is no JSON value")
 
 
-_DECODER = json.JSONDecoder(parse_constant=_no_constant)
+def _load(text: str):
+    sys.set_int_max_str_digits(0)
+    return json.loads(text, parse_constant=_no_constant)
 
 
 def parse_object(body: str | None) -> dict | None:
@@ -20,7 +20,7 @@ def parse_object(body: str | None) -> dict | None:
     if not body:
         return None
     try:
-        value = _DECODER.decode(body)
+        value = _load(body)
     except (ValueError, RecursionError):
         return None
     return value if isinstance(value, dict) else None
@@ -32,7 +32,7 @@ def parse_container(text: str):
     if head not in ("[", "{"):
         return None
     try:
-        return _DECODER.decode(text)
+        return _load(text)
     except (ValueError, RecursionError):
         return None
 
