@@ -38,9 +38,9 @@ def sainte_lague(weights: np.ndarray, seats: int, caps: np.ndarray | None = None
 
     Found by search of the divisor instead of seat by seat, so that it takes the same time for any number of seats."""
     w = np.where(np.isfinite(weights) & (weights > 0), weights, 0.0).astype(np.float64)
-    cap = np.full(len(w), np.iinfo(np.int64).max // 4, dtype=np.int64) if caps is None else np.maximum(np.asarray(caps, dtype=np.int64), 0)
+    cap = np.full(len(w), max(int(seats), 0), dtype=np.int64) if caps is None else np.maximum(np.asarray(caps, dtype=np.int64), 0)
     cap = np.where(w > 0, cap, 0)
-    seats = int(min(seats, cap.sum())) if len(w) else 0
+    seats = int(min(seats, np.minimum(cap, max(int(seats), 0)).sum())) if len(w) else 0
     if seats <= 0:
         return np.zeros(len(w), dtype=np.int64)
 
@@ -108,7 +108,7 @@ def mix(documents: DataFrame, targets: DataFrame, shard_tokens: int = SHARD_TOKE
     recipe = Window.partitionBy("recipe")
     want = want.withColumn("target_share", F.try_divide("weight", F.sum("weight").over(recipe))).withColumn("target", F.col("target_share") * F.col("size_factor") * F.sum("available").over(recipe))
     blocks = docs.groupBy("source", "shard", "block").agg(F.sum("size").alias("tokens"))
-    shards = blocks.groupBy("source", "shard").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("blocks"))
+    shards = blocks.groupBy("source", "shard").agg(F.sum("tokens").alias("tokens")).withColumn("blocks", F.ceil(F.col("tokens") / block_tokens))
     counts = shards.groupBy("source").agg(F.sum("blocks").alias("blocks"))
 
     def to_sources(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -126,13 +126,15 @@ def mix(documents: DataFrame, targets: DataFrame, shard_tokens: int = SHARD_TOKE
     def to_shards(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("shard", kind="stable")
         q = sainte_lague(pdf.tokens.to_numpy(np.float64), int(pdf.quota_blocks.iloc[0]), (pdf.max_repeats * pdf.blocks).to_numpy(np.int64))
-        return pdf.assign(quota=q)[["recipe", "source", "shard", "quota", "blocks"]]
+        return pdf.assign(quota=q).rename(columns={"tokens": "of"})[["recipe", "source", "shard", "quota", "of", "max_repeats"]]
 
-    quota = alloc.where("quota_blocks > 0").join(shards, "source").groupBy("recipe", "source").applyInPandas(to_shards, "recipe string, source string, shard long, quota long, blocks long")
-    seeded = Window.partitionBy("recipe", "source", "shard").orderBy(F.xxhash64("recipe", "source", "shard", "block", F.lit(seed + 2)), "block")
+    quota = alloc.where("quota_blocks > 0").join(shards, "source").groupBy("recipe", "source").applyInPandas(to_shards, "recipe string, source string, shard long, quota long, of long, max_repeats long")
+    seeded = Window.partitionBy("recipe", "source", "shard").orderBy(F.xxhash64("recipe", "source", "shard", "block", F.lit(seed + 2)), "block").rowsBetween(Window.unboundedPreceding, -1)
+    # the shard's tokens as often as they go into its quota, then blocks in seeded order as far as they come closest to the rest
+    wanted = quota.where("quota > 0").withColumn("tokens_wanted", F.least(F.col("quota") * block_tokens, F.col("max_repeats") * F.col("of"))).withColumn("full", F.floor(F.col("tokens_wanted") / F.col("of")))
     chosen = (
-        quota.where("quota > 0").join(blocks, ["source", "shard"]).withColumn("r", F.row_number().over(seeded))
-        .withColumn("copies", F.floor(F.col("quota") / F.col("blocks")) + (F.col("r") <= F.col("quota") % F.col("blocks")).cast("long"))
+        wanted.withColumn("rest", F.col("tokens_wanted") - F.col("full") * F.col("of")).join(blocks, ["source", "shard"]).withColumn("before", F.coalesce(F.sum("tokens").over(seeded), F.lit(0)))
+        .withColumn("copies", F.col("full") + (F.col("before") + F.col("tokens") / 2 <= F.col("rest")).cast("long"))
         .where("copies > 0").select("recipe", "source", "shard", "block", "copies", "tokens")
     )
     chosen = materialize(chosen, "mix-blocks")
