@@ -6,13 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import byte_tokens
-from rankloom.llm import mixing, packing, topn
+from rankloom.llm import mixing, neighbours, packing, topn
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.mutual_pairs(_t(spark, sf, "dense_index"), _t(spark, sf, "dense_queries")).select("vec_a", "vec_b")
+
+
+def p2_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    index, queries = (_t(spark, sf, t).select("vec_id", "model_id", "embedding") for t in ("dense_index", "dense_queries"))
+    return neighbours.neighbour_rows(neighbours.nearest(index, index.unionByName(queries)))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return topn.top_n(_t(spark, sf, "hits"), ["system", "query_id"], "doc_id", "score", 10).select("system", "query_id", "doc_id", "place")
 
@@ -50,9 +59,20 @@ def p7_mixture(spark: SparkSession, sf: str) -> DataFrame:
     return _mixture(spark, sf).selection()
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p6_found, p6_sequences, p6_fill, p7_found, p7_shares, p7_mixture)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p5_found, p6_found, p6_sequences, p6_fill, p7_found, p7_shares, p7_mixture)}
+
+_VALID = """SELECT vec_id, model_id, embedding::DOUBLE[] AS e FROM {} WHERE vec_id IS NOT NULL AND model_id IS NOT NULL AND len(embedding) = 64
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"""
 
 SQL = {
+    "p2_found": f"""
+WITH i AS (SELECT DISTINCT * FROM ({_VALID.format("dense_index")})), q AS (SELECT DISTINCT * FROM ({_VALID.format("dense_queries")})),
+ii AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.e, b.e) AS s FROM i a JOIN i b ON a.model_id = b.model_id AND a.vec_id <> b.vec_id),
+qi AS (SELECT q.vec_id AS a, i.vec_id AS b, list_cosine_similarity(q.e, i.e) AS s FROM q JOIN i USING (model_id)),
+r AS (SELECT a, b, s, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS k FROM ii
+  UNION ALL SELECT a, b, s, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) FROM qi
+  UNION ALL SELECT b, a, s, row_number() OVER (PARTITION BY b ORDER BY s DESC, a) FROM qi)
+SELECT DISTINCT least(x.a, x.b) AS vec_a, greatest(x.a, x.b) AS vec_b FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.k <= 10 AND y.k <= 10 AND x.s >= 0.9""",
     "p5_found": """
 WITH best AS (SELECT system, query_id, doc_id, max(score) AS score FROM hits
   WHERE system IS NOT NULL AND query_id IS NOT NULL AND doc_id IS NOT NULL AND score IS NOT NULL AND isfinite(score) GROUP BY ALL)
