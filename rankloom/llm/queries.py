@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import byte_tokens
-from rankloom.llm import mixing, neighbours, packing, topn
+from rankloom.llm import mixing, neighbours, packing, sentences, topn
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -59,7 +59,15 @@ def p7_mixture(spark: SparkSession, sf: str) -> DataFrame:
     return _mixture(spark, sf).selection()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p5_found, p6_found, p6_sequences, p6_fill, p7_found, p7_shares, p7_mixture)}
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return sentences.sentences(_t(spark, sf, "documents")).select("doc_id", "start_char", "end_char").distinct()
+
+
+def p8_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    return sentences.sentences(_t(spark, sf, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p5_found, p6_found, p6_sequences, p6_fill, p7_found, p7_shares, p7_mixture, p8_found, p8_sentences)}
 
 _VALID = """SELECT vec_id, model_id, embedding::DOUBLE[] AS e FROM {} WHERE vec_id IS NOT NULL AND model_id IS NOT NULL AND len(embedding) = 64
   AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"""
