@@ -71,6 +71,10 @@ def _lone(value):
     return None
 
 
+def _holds_object(items: list) -> bool:
+    return any(isinstance(x, dict) or isinstance(x, list) and _holds_object(x) for x in map(_element, items))
+
+
 def scan_paths(obj: dict, sections: tuple[str, ...]) -> tuple[set[str], set[str]]:
     """(paths that hold a list with an object in it, paths that hold an object), both without positions."""
     lists, lone = set(), set()
@@ -123,7 +127,7 @@ def explode_object(obj: dict, sections: tuple[str, ...], mixed: frozenset[str],
             p, q = f"{path}.{k}", f"{kind}.{k}"
             if (items := _as_list(v)) is not None and (not isinstance(v, str) or any(isinstance(_element(x), (dict, list)) for x in items)):
                 walk_list(items, p, q, owner)
-                if with_fields and not any(isinstance(_element(x), dict) for x in items):
+                if with_fields and not _holds_object(items):
                     owner["fields"].append({"name": prefix + k, "type": "array", "text": json.dumps(items, ensure_ascii=False)})
             elif q in mixed and (one := _lone(v)) is not None:
                 child = row(owner["node_no"], q, 0, f"{p}[0]", owner["node_path"])
