@@ -45,11 +45,9 @@ def sainte_lague(weights: np.ndarray, seats: int, caps: np.ndarray | None = None
         return np.zeros(len(w), dtype=np.int64)
 
     def held(divisor: float) -> np.ndarray:  # seats whose quotient w / (2 q + 1) exceeds the divisor
-        return np.minimum(np.ceil(np.maximum((w / divisor - 1) / 2, 0)).astype(np.int64), cap)
+        return np.minimum(np.ceil(np.maximum((w / divisor - 1) / 2, 0)), cap).astype(np.int64)
 
     lo, hi = w[w > 0].min() / (2.0 * seats + 3) / 2, w.max() * 2
-    while held(lo).sum() < seats:
-        lo /= 2
     for _ in range(200):
         mid = (lo + hi) / 2
         if mid in (lo, hi):
@@ -58,12 +56,9 @@ def sainte_lague(weights: np.ndarray, seats: int, caps: np.ndarray | None = None
             lo = mid
         else:
             hi = mid
-    q = held(hi)
-    while (left := seats - int(q.sum())) > 0:  # equal quotients at the divisor
-        quotient = np.where(q < cap, w / (2 * q + 1), -1.0)
-        best = np.argsort(-quotient, kind="stable")[:left]
-        top = best[quotient[best] >= quotient[best[0]] * (1 - 1e-12)]
-        q[top] += 1
+    q = held(hi * (1 + 1e-9))
+    for _ in range(seats - int(q.sum())):  # the last few, quotient by quotient
+        q[np.argmax(np.where(q < cap, w / (2 * q + 1), -1.0))] += 1
     return q
 
 
