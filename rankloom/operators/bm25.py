@@ -17,6 +17,10 @@ from rankloom.functions.text import tokens
 from rankloom.operators.topk import ranked
 
 
+#: Rows of (query, term), about 100 MB in memory at most.
+BROADCAST_TERMS = 1_000_000
+
+
 @dataclass(frozen=True)
 class Bm25Index:
     """postings: by, term, doc_id, tf, dl. doc_stats: by, doc_id, dl. corpus_stats: by, n, avgdl. df: by, term, df."""
@@ -57,7 +61,16 @@ def build(documents: DataFrame, by: tuple[str, ...] = ()) -> Bm25Index:
 
 
 def search(index: Bm25Index, queries: DataFrame, k: int = 100, k1: float = 0.9, b: float = 0.4) -> DataFrame:
-    """(by, query_id, doc_id, score, rank): queries has by, query_id, text."""
+    """(by, query_id, doc_id, score, rank): queries has by, query_id, text.
+
+    Up to BROADCAST_TERMS query terms travel to postings that are partitioned by document: then the sum per query and
+    document needs no shuffle, each partition cuts to its own k best, and only these move. Beyond that the terms are joined
+    by a shuffle."""
+    spark = queries.sparkSession
     terms = queries.select(*index.by, "query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    scored = terms.join(index.weights(k1, b), [*index.by, "term"]).groupBy(*index.by, "query_id", "doc_id").agg(F.sum("w").alias("score"))
+    weights = index.weights(k1, b)
+    if terms.count() <= BROADCAST_TERMS:
+        weights = weights.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *index.by, "doc_id")
+        terms = F.broadcast(terms)
+    scored = weights.join(terms, [*index.by, "term"]).groupBy(*index.by, "query_id", "doc_id").agg(F.sum("w").alias("score"))
     return ranked(scored, [*index.by, "query_id"], "score", ["doc_id"], k)
