@@ -68,9 +68,11 @@ def search(index: Bm25Index, queries: DataFrame, k: int = 100, k1: float = 0.9,
     by a shuffle."""
     spark = queries.sparkSession
     terms = queries.select(*index.by, "query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    weights = index.weights(k1, b)
+    weights, place = index.weights(k1, b), []
     if terms.count() <= BROADCAST_TERMS:
-        weights = weights.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *index.by, "doc_id")
+        # a number of partitions of its own: postings are small, what the join makes of them is not
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+        weights, place = weights.withColumn("_place", F.xxhash64("doc_id")).repartition(parts, "_place"), ["_place"]
         terms = F.broadcast(terms)
-    scored = weights.join(terms, [*index.by, "term"]).groupBy(*index.by, "query_id", "doc_id").agg(F.sum("w").alias("score"))
+    scored = weights.join(terms, [*index.by, "term"]).groupBy(*place, *index.by, "query_id", "doc_id").agg(F.sum("w").alias("score")).drop(*place)
     return ranked(scored, [*index.by, "query_id"], "score", ["doc_id"], k)

@@ -119,10 +119,16 @@ def flat(corpus: DataFrame, queries: DataFrame, k: int, by: list[str], exclude_s
 
 def binary_rerank(corpus: DataFrame, queries: DataFrame, k: int, by: list[str], dims: int, candidates: int = 1000) -> DataFrame:
     """Sign codes, the nearest candidates by Hamming distance, then exact re-ranking. The vectors travel with the codes of
-    the candidates only after the cut."""
-    c = corpus.select(*by, "doc_id", V.sign_words(F.col("v"), dims).alias("code"))
+    the candidates only after the cut. At most QUERY_BLOCK queries per call: their codes go to every partition of the
+    corpus, which stays where it is, however large a group may be."""
+    spark = corpus.sparkSession
+    if queries.count() > QUERY_BLOCK:
+        raise ValueError(f"more than {QUERY_BLOCK} queries in one call: search in blocks")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    c = corpus.select(*by, "doc_id", V.sign_words(F.col("v"), dims).alias("code")).repartition(parts)
     q = queries.select(*by, "query_id", F.col("v").alias("qv"), V.sign_words(F.col("v"), dims).alias("qcode"))
-    pairs = c.join(q.select(*by, "query_id", "qcode"), by) if by else c.crossJoin(q.select("query_id", "qcode"))
+    asked = F.broadcast(q.select(*by, "query_id", "qcode"))
+    pairs = c.join(asked, by) if by else c.crossJoin(asked)
     near = ranked(pairs.select(*by, "query_id", "doc_id", V.hamming(F.col("code"), F.col("qcode")).alias("distance")), [*by, "query_id"], "distance", ["doc_id"], max(candidates, k), ascending=True, digits=None).drop("rank")
     scored = near.join(corpus.select(*by, "doc_id", "v"), [*by, "doc_id"]).join(q.select(*by, "query_id", "qv"), [*by, "query_id"])
     return ranked(scored.select(*by, "query_id", "doc_id", "distance", V.dot(F.col("qv"), F.col("v")).alias("score")), [*by, "query_id"], "score", ["doc_id"], k)
