@@ -36,7 +36,7 @@ from rankloom.session import materialize
 
 TRAIN_ROWS = 32_768
 MAX_CELLS = 65_536
-BLOCK_ROWS = 65_536
+BLOCK_ROWS = 32_768
 
 
 @dataclass(frozen=True)
