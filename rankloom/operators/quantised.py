@@ -5,7 +5,8 @@ anisotropic quantisation (Guo et al. 2020), and navigable graphs per block with
 (Malkov and Yashunin 2018). A quantiser is fitted on a bounded sample (TRAIN_ROWS vectors in the order of a hash of the
 id), every vector is encoded where it lies, and a search streams the codes past the queries: each partition keeps its best
 candidates per query, which alone are shuffled and re-ranked with the full vectors. Nothing gathers a list in one task, so
-the cap on the number of lists is harmless at any size.
+the cap on the number of lists is harmless at any size. How many lists a query reads and how many candidates are re-ranked
+is measured on the sample (`tune`); the stated numbers are the least.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from rankloom.operators.dense import QUERY_BLOCK, nlist, pq_parts
 from rankloom.operators.topk import ranked
 
 TRAIN_ROWS = 200_000
+TUNE_QUERIES = 128
 GRAPH_BLOCK = 10_000
 
 
@@ -60,6 +62,7 @@ class ProductCodes:
     parts: int = 32
     rounds: int = 4
     probes: int = 32
+    candidates: int = 100
     state: dict = field(default_factory=dict)
 
     def fit(self, x: np.ndarray, n: int) -> ProductCodes:
@@ -91,7 +94,7 @@ class ProductCodes:
         y = q @ self.state["r"]
         cols = np.split(np.arange(y.shape[1]), len(self.state["books"]))
         lead = y @ self.state["coarse"].T
-        return {"lead": lead, "tables": [y[:, p] @ b.T for p, b in zip(cols, self.state["books"])], "probe": _probe(lead, self.probes)}
+        return {"lead": lead, "tables": [y[:, p] @ b.T for p, b in zip(cols, self.state["books"])], "probe": _probe(lead, self.state.get("probes", self.probes))}
 
     def score(self, a: dict, rows: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
         s = np.repeat(a["lead"][rows, cell][:, None], len(codes), axis=1)
@@ -106,6 +109,7 @@ class OneBitCodes:
     inner product is unbiased."""
 
     probes: int = 32
+    candidates: int = 100
     seed: int = 13
     state: dict = field(default_factory=dict)
 
@@ -126,7 +130,7 @@ class OneBitCodes:
 
     def ask(self, q: np.ndarray) -> dict:
         lead = q @ self.state["coarse"].T
-        return {"lead": lead, "q": q @ self.state["r"], "probe": _probe(lead, self.probes)}
+        return {"lead": lead, "q": q @ self.state["r"], "probe": _probe(lead, self.state.get("probes", self.probes))}
 
     def score(self, a: dict, rows: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
         d = a["q"].shape[1]
@@ -139,10 +143,11 @@ class OneBitCodes:
 
 @dataclass
 class PairCodes:
-    """A tree of about sqrt(n) leaves, a tenth of them searched; 16 centres per two columns, chosen so that the error along
-    the vector weighs more than the error across it."""
+    """A tree of about sqrt(n) leaves, at least a tenth of them searched; 16 centres per two columns, chosen so that the
+    error along the vector weighs more than the error across it."""
 
     threshold: float = 0.2
+    candidates: int = 1000
     state: dict = field(default_factory=dict)
 
     def fit(self, x: np.ndarray, n: int) -> PairCodes:
@@ -182,6 +187,43 @@ def _probe(lead: np.ndarray, probes: int) -> np.ndarray:
     return out
 
 
+def tune(quantiser, x: np.ndarray, n: int, k: int, recall: float) -> None:
+    """Sets the probes and candidates with which the first vectors of the sample x, as queries, find the given share of
+    their true k (themselves left out) in n vectors. The list loses at most half of what may be lost, the codes the rest."""
+    asked = min(TUNE_QUERIES, len(x))
+    k = min(k, len(x) - 1)
+    if k < 1:
+        return
+    cell, codes = (np.concatenate(z) for z in zip(*[quantiser.encode(x[i : i + 16384]) for i in range(0, len(x), 16384)]))
+    blocks = []
+    for i in range(0, asked, 16):
+        own = np.arange(i, min(i + 16, asked))
+        s = x[own] @ x.T
+        s[np.arange(len(own)), own] = -np.inf
+        blocks.append((own, np.argpartition(-s, k - 1, axis=1)[:, :k]))
+    lead = quantiser.ask(x[:asked])["lead"]
+    place = np.argsort(np.argsort(-lead, axis=1, kind="stable"), axis=1)
+    places = np.concatenate([np.take_along_axis(place[own], cell[true], axis=1) for own, true in blocks])
+    least = quantiser.state.get("probes", getattr(quantiser, "probes", 1))
+    probes = max(least, 1 + int(np.quantile(places, (1 + recall) / 2, method="higher")))
+    quantiser.state["probes"] = probes
+    at = [np.flatnonzero(cell == c) for c in range(lead.shape[1])]
+    ranks = []
+    for own, true in blocks:
+        a = quantiser.ask(x[own])
+        est = np.full((len(own), len(x)), -np.inf)
+        for c, members in enumerate(at):
+            rows = np.flatnonzero(a["probe"][:, c])
+            if len(rows) and len(members):
+                est[np.ix_(rows, members)] = quantiser.score(a, rows, c, codes[members])
+        for r in range(len(own)):
+            got = est[r, true[r]]
+            order = np.sort(est[r])
+            ranks.append(np.where(np.isfinite(got), len(x) - np.searchsorted(order, got), len(x)))
+    need = int(np.quantile(np.concatenate(ranks), recall, method="higher"))
+    quantiser.state["candidates"] = max(quantiser.candidates, math.ceil(need * max(1.0, n / len(x))))
+
+
 @dataclass(frozen=True)
 class CodeIndex:
     """codes: doc_id, cell, code. The quantiser is small: lists and codebooks."""
@@ -191,10 +233,12 @@ class CodeIndex:
     vectors: DataFrame
 
 
-def build(corpus: DataFrame, quantiser) -> CodeIndex:
-    """corpus: doc_id, v."""
+def build(corpus: DataFrame, quantiser, k: int = 10, recall: float = 0.95) -> CodeIndex:
+    """corpus: doc_id, v. Probes and candidates are tuned for the recall of k hits."""
     x, n = _training(corpus)
     q = quantiser.fit(x, n) if len(x) else quantiser
+    if len(x):
+        tune(q, x, n, k, recall)
     sent = corpus.sparkSession.sparkContext.broadcast(_packed(q))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,13 +263,13 @@ def _unpacked(kind: type, fields: dict):
     return q
 
 
-def search(index: CodeIndex, queries: DataFrame, k: int, candidates: int = 100) -> DataFrame:
-    """(query_id, doc_id, score, rank): the best candidates by code, re-ranked with the full vectors. queries: query_id, v,
-    at most QUERY_BLOCK per call."""
+def search(index: CodeIndex, queries: DataFrame, k: int, candidates: int | None = None) -> DataFrame:
+    """(query_id, doc_id, score, rank): the best candidates by code (as many as the index was tuned for, if not stated),
+    re-ranked with the full vectors. queries: query_id, v, at most QUERY_BLOCK per call."""
     pdf = queries.select("query_id", "v").limit(QUERY_BLOCK + 1).toPandas()
     if len(pdf) > QUERY_BLOCK:
         raise ValueError(f"more than {QUERY_BLOCK} queries in one call: search in blocks")
-    spark, c = queries.sparkSession, max(candidates, k)
+    spark, c = queries.sparkSession, max(candidates or index.quantiser.state.get("candidates", index.quantiser.candidates), k)
     keys = pdf.query_id.tolist()
     q = np.stack([np.asarray(v, np.float64) for v in pdf.v]) if len(pdf) else np.zeros((0, 1))
     sent = spark.sparkContext.broadcast((_packed(index.quantiser), index.quantiser.ask(q) if len(pdf) and index.quantiser.state else None, keys))
