@@ -218,7 +218,7 @@ def plaid_topk(spark, sf):
 
 
 def muvera_topk(spark, sf):
-    return _shown(late.muvera(*_matrices(spark, sf), 10, DIMS, candidates=100))
+    return _shown(late.muvera(*_matrices(spark, sf), 10, DIMS))
 
 
 # --- fusion -----------------------------------------------------------------------------------------------------------

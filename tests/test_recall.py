@@ -31,3 +31,8 @@ def test_registered_codes_reach_their_recall(spark, table, name):
     at, x = table
     exact = {i: set(np.argsort(-(x @ x[i]), kind="stable")[:10].tolist()) for i in range(0, len(x), 20)}
     assert recall(found(retrieval_queries.QUERIES[name](spark, at)), exact) >= 0.9
+
+
+def test_registered_encodings_reach_their_recall(spark, table):
+    at, _ = table
+    assert recall(found(retrieval_queries.muvera_topk(spark, at)), found(retrieval_queries.maxsim_topk(spark, at))) >= 0.9
