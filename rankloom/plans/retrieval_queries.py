@@ -240,6 +240,29 @@ def _fused(system: str):
     return run
 
 
+def _dense_by_model(spark: SparkSession, sf: str, k: int = 100) -> DataFrame:
+    """(model_id, query_id, doc_id, score, rank): a pair counts by its two nearest vectors. With at most `most` vectors a
+    document, the k * most nearest of each query vector hold its k best documents; another k leave room for equal scores."""
+    doc, query = (_t(spark, sf, t).where(F.col(key).isNotNull()).select(F.col("vec_id").alias(v), key).distinct() for t, key, v in (("dense_index", "doc_id", "dv"), ("dense_queries", "query_id", "qv")))
+    c, q = vectors(spark, sf, "dense_index", "dv"), vectors(spark, sf, "dense_queries", "qv")
+    most = c.join(doc, "dv").groupBy("model_id", "doc_id").count().agg(F.max("count")).first()[0] or 1
+    near = dense.flat(c.join(doc, "dv", "left_semi").withColumnRenamed("dv", "doc_id"), q.join(query, "qv", "left_semi").withColumnRenamed("qv", "query_id"), k * (most + 1), ["model_id"])
+    pairs = near.select("model_id", F.col("query_id").alias("qv"), F.col("doc_id").alias("dv"), "score").join(doc, "dv").join(query, "qv")
+    return ranked(pairs.groupBy("model_id", "query_id", "doc_id").agg(F.max("score").alias("score")), ["model_id", "query_id"], "score", ["doc_id"], k)
+
+
+def _fused_by_model(system: str):
+    """As _fused, with one dense list per model over all its vectors; lists without a model take part in each fusion."""
+
+    def run(spark, sf):
+        models = vectors(spark, sf, "dense_index", "vec_id").select("model_id").distinct()
+        c = _components(spark, sf)
+        parts = [_dense_by_model(spark, sf) if p == "dense" else c[p].crossJoin(F.broadcast(models)) for p in fusion.SYSTEMS[system]]
+        return _shown(fusion.rrf(parts, ["model_id", "query_id"]), "model_id")
+
+    return run
+
+
 # --- metrics ----------------------------------------------------------------------------------------------------------
 
 
@@ -282,6 +305,7 @@ QUERIES = {
         ah_topk, hnsw_like_topk, maxsim_topk, plaid_topk, muvera_topk, metrics_per_query, metrics_mean, bm25_metrics, rankings_sidecar, ideal_ranking,
     )
 } | {f"rrf_{s.removeprefix('hybrid-rrf-').replace('-', '_')}": _fused(s) for s in fusion.SYSTEMS}
+QUERIES |= {f"rrf_{s.removeprefix('hybrid-rrf-').replace('-', '_')}_by_model": _fused_by_model(s) for s in fusion.SYSTEMS if "dense" in fusion.SYSTEMS[s]}
 
 # --- SQL --------------------------------------------------------------------------------------------------------------
 
@@ -388,3 +412,21 @@ SELECT model_id, n, CASE WHEN n <= 1 THEN 1 ELSE greatest(1, least(greatest(16,
     "rankings_sidecar": f"WITH {_HITS} SELECT system, dataset, query_id, count(*) AS hits, string_agg(rank || ':' || doc_id, ',' ORDER BY rank) AS ranking FROM r GROUP BY 1, 2, 3",
     "ideal_ranking": f"WITH {_RELS} SELECT * FROM (SELECT dataset, query_id, row_number() OVER (PARTITION BY dataset, query_id ORDER BY rel DESC, doc_id) AS rank, doc_id, rel FROM judged) WHERE rank <= 10",
 } | {f"rrf_{s.removeprefix('hybrid-rrf-').replace('-', '_')}": _rrf_sql(s) for s in fusion.SYSTEMS}
+
+
+def _keyed_sql(table: str, key: str) -> str:
+    return f"(SELECT model_id, {key}, v FROM {_valid(table)} JOIN (SELECT DISTINCT vec_id, {key} FROM {table} WHERE {key} IS NOT NULL) USING (vec_id))"
+
+
+_DENSE_BY_MODEL = f"""ds AS (SELECT model_id, query_id, doc_id, max(list_dot_product(d.v, q.v)) AS score FROM {_keyed_sql('dense_index', 'doc_id')} d JOIN {_keyed_sql('dense_queries', 'query_id')} q USING (model_id) GROUP BY ALL),
+c_dense AS (SELECT model_id, query_id, doc_id, row_number() OVER (PARTITION BY model_id, query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM ds)"""
+
+
+def _rrf_by_model_sql(system: str) -> str:
+    parts = fusion.SYSTEMS[system]
+    union = " UNION ALL ".join(f"SELECT model_id, query_id, doc_id, rank FROM c_{p}{'' if p == 'dense' else ', models'} WHERE rank <= 100" for p in parts)
+    ctes = ", ".join(_DENSE_BY_MODEL if p == "dense" else _PARTS[p] for p in parts)
+    return f"WITH models AS (SELECT DISTINCT model_id FROM {_valid('dense_index')}), {ctes}, s AS (SELECT model_id, query_id, doc_id, sum(1::DOUBLE / (60 + rank)) AS score FROM ({union}) GROUP BY 1, 2, 3) " + _CUT.format(by="model_id, ", k=100)
+
+
+SQL |= {f"rrf_{s.removeprefix('hybrid-rrf-').replace('-', '_')}_by_model": _rrf_by_model_sql(s) for s in fusion.SYSTEMS if "dense" in fusion.SYSTEMS[s]}
