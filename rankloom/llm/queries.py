@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.text import byte_tokens
 from rankloom.llm import mixing, neighbours, packing, sentences, topn
+from rankloom.session import materialize
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -26,21 +27,31 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return topn.top_n(_t(spark, sf, "hits"), ["system", "query_id"], "doc_id", "score", 10).select("system", "query_id", "doc_id", "place")
 
 
-def _packed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def _packed(spark: SparkSession, sf: str) -> DataFrame:
     limits = _t(spark, sf, "seq_limits").select("model_id", F.col("capacity_tokens").alias("capacity"))
-    return packing.pack(_t(spark, sf, "documents").select("doc_id", byte_tokens(F.col("text")).alias("size")), limits), limits
+    return packing.pack(_t(spark, sf, "documents").select("doc_id", byte_tokens(F.col("text")).alias("size")), limits)
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _packed(spark, sf)[0].where("pieces > 1").select("model_id", "doc_id").distinct()
+    """Documents that the packing had to spread over several sequences: their second piece has a sequence of its own."""
+    return _packed(spark, sf).where("piece = 1").select("model_id", "doc_id").distinct()
 
 
 def p6_sequences(spark: SparkSession, sf: str) -> DataFrame:
-    return _packed(spark, sf)[0]
+    return _packed(spark, sf)
+
+
+def p6_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """Every piece of every document without its sequence: what the packing must cover, each token once."""
+    return _packed(spark, sf).select("model_id", F.col("capacity").cast("long").alias("capacity"), "doc_id", F.col("piece").cast("long").alias("piece"), "start", "length")
 
 
 def p6_fill(spark: SparkSession, sf: str) -> DataFrame:
-    return packing.fill_report(*_packed(spark, sf))
+    return packing.fill_report(_packed(spark, sf))
+
+
+def p6_kept(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.packing_kept(_packed(spark, sf), 0.95)
 
 
 def _mixture(spark: SparkSession, sf: str) -> mixing.Mixture:
@@ -52,13 +63,27 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
-    return _mixture(spark, sf).sources
+    m = _mixture(spark, sf)
+    return m.report(m.selection())
 
 
 def p7_mixture(spark: SparkSession, sf: str) -> DataFrame:
     return _mixture(spark, sf).selection()
 
 
+def p7_shares_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether each source that can reach its target does, within 1 % or one document of its average size, and whether any
+    other is used up; whether copies stay within max_repeats."""
+    m = _mixture(spark, sf)
+    picked = materialize(m.selection(), "mix-picked")
+    most = picked.groupBy("recipe", "source").agg(F.max("copies").alias("most"))
+    one = m.documents.groupBy("source").agg(F.avg("size").alias("one"))
+    r = m.report(picked).join(most, ["recipe", "source"], "left").join(one, "source", "left")
+    goal = F.least(F.col("target"), F.col("available") * F.col("max_repeats"))
+    near = F.abs(F.col("reached") - goal) <= F.greatest(0.01 * goal, F.coalesce("one", F.lit(0)))
+    return r.select("recipe", "source", "available", F.round("target", 3).alias("target"), F.when(F.col("short"), F.col("reached") == F.col("available") * F.col("max_repeats")).otherwise(near).alias("share_kept"), (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("cap_kept"))
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return sentences.sentences(_t(spark, sf, "documents")).select("doc_id", "start_char", "end_char").distinct()
 
@@ -67,11 +92,21 @@ def p8_sentences(spark: SparkSession, sf: str) -> DataFrame:
     return sentences.sentences(_t(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p5_found, p6_found, p6_sequences, p6_fill, p7_found, p7_shares, p7_mixture, p8_found, p8_sentences)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p5_found, p6_found, p6_sequences, p6_pieces, p6_fill, p6_kept, p7_found, p7_shares, p7_mixture, p7_shares_kept, p8_found, p8_sentences)}
 
 _VALID = """SELECT vec_id, model_id, embedding::DOUBLE[] AS e FROM {} WHERE vec_id IS NOT NULL AND model_id IS NOT NULL AND len(embedding) = 64
   AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"""
 
+_PIECES = """
+WITH p AS (SELECT model_id, capacity_tokens::BIGINT AS capacity, doc_id, strlen(text) AS size, unnest(range(0, (strlen(text) + capacity_tokens - 1) // capacity_tokens)) AS piece
+  FROM documents, (SELECT DISTINCT model_id, capacity_tokens FROM seq_limits WHERE capacity_tokens > 0 AND model_id IS NOT NULL) WHERE strlen(text) > 0)
+"""
+_MIX = r"""
+WITH t AS (SELECT DISTINCT recipe, lower(regexp_replace(source, '^\s+|\s+$', '', 'g')) AS source, weight, max_repeats, size_factor FROM mix_targets WHERE weight IS NOT NULL),
+d AS (SELECT lower(regexp_replace(source, '^\s+|\s+$', '', 'g')) AS source, sum(strlen(text)) AS tokens FROM documents GROUP BY 1),
+j AS (SELECT t.*, coalesce(d.tokens, 0) AS tokens, sum(weight) OVER w AS ws, sum(coalesce(d.tokens, 0)) OVER w AS total FROM t LEFT JOIN d USING (source) WINDOW w AS (PARTITION BY recipe))
+"""
+
 SQL = {
     "p2_found": f"""
 WITH i AS (SELECT DISTINCT * FROM ({_VALID.format("dense_index")})), q AS (SELECT DISTINCT * FROM ({_VALID.format("dense_queries")})),
@@ -87,9 +122,8 @@ WITH best AS (SELECT system, query_id, doc_id, max(score) AS score FROM hits
 SELECT system, query_id, doc_id, place FROM (
   SELECT system, query_id, doc_id, row_number() OVER (PARTITION BY system, query_id ORDER BY score DESC, doc_id) AS place FROM best) WHERE place <= 10""",
     "p6_found": "SELECT DISTINCT model_id, doc_id FROM documents, seq_limits WHERE strlen(text) > capacity_tokens",
-    "p7_found": r"""
-WITH t AS (SELECT DISTINCT recipe, lower(regexp_replace(source, '^\s+|\s+$', '', 'g')) AS source, weight, max_repeats, size_factor FROM mix_targets WHERE weight IS NOT NULL),
-d AS (SELECT lower(regexp_replace(source, '^\s+|\s+$', '', 'g')) AS source, sum(strlen(text)) AS tokens FROM documents GROUP BY 1),
-j AS (SELECT t.*, coalesce(d.tokens, 0) AS tokens, sum(weight) OVER w AS ws, sum(coalesce(d.tokens, 0)) OVER w AS total FROM t LEFT JOIN d USING (source) WINDOW w AS (PARTITION BY recipe))
-SELECT DISTINCT recipe, source FROM j WHERE tokens * max_repeats < weight / ws * size_factor * total""",
+    "p6_pieces": _PIECES + "SELECT model_id, capacity, doc_id, piece, piece * capacity AS start, least(capacity, size - piece * capacity) AS length FROM p",
+    "p6_kept": _PIECES + "SELECT model_id, capacity, count(*) AS pieces, sum(least(capacity, size - piece * capacity))::BIGINT AS tokens, true AS fits, true AS filled FROM p GROUP BY 1, 2",
+    "p7_found": _MIX + "SELECT DISTINCT recipe, source FROM j WHERE tokens * max_repeats < weight / ws * size_factor * total",
+    "p7_shares_kept": _MIX + "SELECT recipe, source, tokens::BIGINT AS available, round(weight / ws * size_factor * total, 3) AS target, true AS share_kept, true AS cap_kept FROM j",
 }

@@ -56,7 +56,7 @@ def mixture(spark):
 
 def test_shares_and_caps(mixture):
     m, sizes = mixture
-    rep = {(r.recipe, r.source): r for r in m.sources.collect()}
+    rep = {(r.recipe, r.source): r for r in m.report(m.selection()).collect()}
     have = {s: sum(v.values()) for s, v in sizes.items()}
     wanted = 0.5 * sum(have[s] for s in "abc")
     for s, cap in (("a", 3), ("b", 1), ("c", 2), ("nowhere", 9)):
@@ -65,9 +65,9 @@ def test_shares_and_caps(mixture):
         if r.short:
             assert r.reached <= cap * have.get(s, 0)
         else:
-            assert abs(r.reached - r.target) <= 2 * 2_400
+            assert abs(r.reached - r.target) <= max(200, 0.01 * r.target)
     assert rep["r", "c"].short and rep["r", "c"].reached == 2 * have["c"]
-    assert rep["s", "b"].reached == pytest.approx(have["b"], abs=5_000)
+    assert rep["s", "b"].reached == have["b"]
     assert rep["z", "a"].reached == 0 and (None, "b") not in rep
 
 
@@ -78,11 +78,39 @@ def test_selection_adds_up(mixture):
     for r in m.selection().collect():
         assert r.size == sizes[r.source][r.doc_id] and 1 <= r.copies <= caps[r.recipe, r.source]
         total[r.recipe, r.source] = total.get((r.recipe, r.source), 0) + r.size * r.copies
-    assert total == {(r.recipe, r.source): r.reached for r in m.sources.collect() if r.reached}
+    assert total == {(r.recipe, r.source): r.reached for r in m.report(m.selection()).collect() if r.reached}
 
 
 def test_empty(spark):
     d, t = docs(spark, [(1, "a", "x")]), targets(spark, [("r", "a", 1.0, 1, 1.0)])
     assert mixing.mix(d, t.limit(0)).sources.count() == 0
     m = mixing.mix(d.limit(0), t)
-    assert [(r.available, r.reached, r.short) for r in m.sources.collect()] == [(0, 0, False)] and m.selection().count() == 0
+    assert [(r.available, r.reached, r.short) for r in m.report(m.selection()).collect()] == [(0, 0, False)] and m.selection().count() == 0
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_choice_of_a_shard_ends_near_its_quota(seed):
+    rng = np.random.default_rng(seed)
+    size = np.maximum(1, rng.lognormal(6, 1.5, rng.integers(1, 400)).astype(np.int64))
+    for share in (0.001, 0.2, 0.999, 1.0, 2.7):
+        wanted = int(size.sum() * share)
+        copies = mixing.choose(size, wanted, 3, 2_000, seed)
+        assert copies.max() <= 3 and copies.max() - copies.min() <= 1
+        bound = size[copies == copies.min()].min() if copies.max() > copies.min() else size.max()
+        assert abs(int((copies * size).sum()) - wanted) <= bound / 2
+
+
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_shares_of_the_given_tables(spark, folder):
+    from rankloom.llm import queries
+
+    rows = queries.p7_shares_kept(spark, folder).collect()
+    assert len(rows) > 50 and all(r.share_kept and r.cap_kept for r in rows)
+
+
+def test_shards_in_groups(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_GROUP", 3)
+    d = docs(spark, [(i, "a" if i % 4 else "b", "x" * (50 + i % 200)) for i in range(2000)])
+    m = mixing.mix(d, targets(spark, [("r", "a", 3.0, 2, 0.7), ("r", "b", 1.0, 2, 0.7)]), shard_tokens=10_000, block_tokens=1_000)
+    for r in m.report(m.selection()).collect():
+        assert abs(r.reached - r.target) <= 0.01 * r.target

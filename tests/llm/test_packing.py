@@ -36,7 +36,7 @@ def test_every_token_once_within_capacity(spark, seed):
     caps = [("a", 1024), ("a", 1024), ("b", 300), ("none", None), ("zero", 0), (None, 5)]
     df, limits = packed(spark, sizes, caps, block_sequences=64)
     load = check(df.collect(), sizes, caps)
-    rep = {r.model_id: r for r in packing.fill_report(df, limits).collect()}
+    rep = {r.model_id: r for r in packing.fill_report(df).collect()}
     for m, c in (("a", 1024), ("b", 300)):
         total = sum(min(s, 10**9) for s in sizes if s)
         assert rep[m].tokens == total and rep[m].sequences == sum(1 for k in load if k[0] == m) and rep[m].unused == rep[m].sequences * c - total
@@ -46,7 +46,7 @@ def test_few_tokens_are_unused(spark):
     rng = random.Random(9)
     sizes = [max(1, int(rng.lognormvariate(6, 0.8))) for _ in range(3000)]
     df, limits = packed(spark, sizes, [("m", 4096)])
-    assert packing.fill_report(df, limits).first().fill >= 0.98
+    assert packing.fill_report(df).first().fill >= 0.98
 
 
 def test_cost_is_balanced():
@@ -63,5 +63,15 @@ def test_blocks_by_item_count(spark):
 
 def test_empty(spark):
     df, limits = packed(spark, [0, None], [("m", 10)])
-    assert df.count() == 0 and packing.fill_report(df, limits).count() == 0
+    assert df.count() == 0 and packing.fill_report(df).count() == 0
     assert packed(spark, [5], [("m", None)])[0].count() == 0
+
+
+def test_two_capacities_of_a_model(spark):
+    df, _ = packed(spark, [300] * 50, [("m", 1000), ("m", 2000)])
+    rows = df.collect()
+    assert len(rows) == 100 and {r.capacity for r in rows} == {1000, 2000}
+    rep = {r.capacity: r for r in packing.fill_report(df).collect()}
+    assert [(rep[c].items, rep[c].tokens) for c in (1000, 2000)] == [(50, 15_000)] * 2
+    kept = packing.packing_kept(df, 0.9).collect()
+    assert all(r.fits and r.pieces == 50 for r in kept)
