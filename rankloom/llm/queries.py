@@ -85,7 +85,7 @@ def p7_shares_kept(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
-    return sentences.sentences(_t(spark, sf, "documents")).select("doc_id", "start_char", "end_char").distinct()
+    return sentences.sentences(_t(spark, sf, "documents"), with_text=False).distinct()
 
 
 def p8_sentences(spark: SparkSession, sf: str) -> DataFrame:

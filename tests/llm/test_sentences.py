@@ -62,3 +62,24 @@ def test_long_text_and_offsets_in_code_points(spark):
     text = "😀 Ok. " * 20_000
     got = units(spark, [text])[0]
     assert len(got) == 20_000 and set(got) == {"😀 Ok."}
+
+
+def test_model_as_a_table_gives_the_same(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    broadcast, joined = (sorted(map(tuple, st.sentences(docs, model_limit=n).collect())) for n in (10**6, 0))
+    assert broadcast and broadcast == joined
+
+
+def test_language_counts_all_letters():
+    half = "слово " * 3000 + "word " * 3800
+    assert st.language_of(half) == "latin" and st.language_of(half + "слово" * 60) == "cyrillic"
+    assert st.language_of("der Hund und die Katze") == "de" and st.language_of("") == "latin"
+
+
+def test_long_runs_are_one_type():
+    long = "x" * 5000
+    assert st.type_before(long + ".", 5000, 0) == "##long"
+    assert st.type_before("(etc.", 4, 0) == "etc" and st.type_before("3,55.", 4, 0) == "#.#" and st.type_before(" .", 1, 0) == ""
+    cutter = st.Cutter(frozenset(), {})
+    assert cutter.cut(f"{long}. {long}. End") == [(0, 5001), (5002, 10003), (10004, 10007)]
+    assert len(cutter.cut("a.)" * 200_000)) >= 1
