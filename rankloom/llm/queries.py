@@ -19,8 +19,8 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_neighbours(spark: SparkSession, sf: str) -> DataFrame:
-    index, queries = (_t(spark, sf, t).select("vec_id", "model_id", "embedding") for t in ("dense_index", "dense_queries"))
-    return neighbours.neighbour_rows(neighbours.nearest(index, index.unionByName(queries)))
+    index, queries = (_t(spark, sf, t) for t in ("dense_index", "dense_queries"))
+    return neighbours.neighbour_rows(neighbours.lists(index, queries, frozenset({"ii", "qi"}), 10, neighbours.SearchParameters()))
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
