@@ -1,16 +1,16 @@
 """Deeply nested semi-structured records as related flat tables.
 
-Method: infer the merged schema of all files (pass 1: which paths hold lists of objects, and which hold a lone object in
-some files), then explode every array level of every file recursively into the child table of its kind (pass 2). A row
+Method: infer the merged schema of all files (pass 1: which paths hold lists of objects in any file, so that a lone object
+there counts as one), then explode every array level of every file recursively into the child table of its kind (pass 2). A row
 names its file, its own and its parent's number within the file (together the surrogate keys), its array ordinal and its
 path.
 
-Both passes read the files batch by batch; a file is the unit of work, nothing is gathered per kind. Only the list of
-paths that are a list in some file and a lone object in another is made known to all tasks; it is a part of the schema
-and its size is checked: beyond MIXED_LIMIT entries each file is given its own paths by a join instead.
+Both passes read the files batch by batch; a file is the unit of work, nothing is gathered per kind, and walks keep their
+own stack, so files may be nested to any depth. Only the paths of lists are made known to all tasks; they are a part of the
+schema and their number is checked: beyond LIST_LIMIT each file is given its own paths by a join instead.
 
 Defined results for odd input: a body that is not exactly one valid JSON object gives nothing; of a repeated key the last
-value counts; redelivered rows of a file_id count once; null elements keep their position and give no row; scalar
+value counts; of several rows of a file_id one counts, that with the longest body (then the greatest); null elements keep their position and give no row; scalar
 elements give no row; empty lists give nothing; a list directly within a list is walked through (a[0][1]); a list, a
 section or an element written as JSON text counts as what the text says; an object written as text elsewhere stays text;
 a lone object counts as position 0 where any file holds a list of objects. An empty input gives empty tables. Only the
@@ -19,18 +19,17 @@ named columns are read, so extra columns never clash.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.operators.json_walk import kind_of, parse_container, parse_object
+from rankloom.operators.json_walk import descend, dump, kind_of, parse_container, parse_object
 from rankloom.session import materialize
 
 SECTIONS = ("benchmark_protocol", "latency", "storage", "quality")
-MIXED_LIMIT = 100_000
+LIST_LIMIT = 100_000
 
 _NODE = pa.struct([
     ("node_no", pa.int32()), ("parent_no", pa.int32()), ("kind", pa.string()), ("ordinal", pa.int32()), ("node_path", pa.string()), ("parent_path", pa.string()),
@@ -72,123 +71,145 @@ def _lone(value):
 
 
 def _holds_object(items: list) -> bool:
-    return any(isinstance(x, dict) or isinstance(x, list) and _holds_object(x) for x in map(_element, items))
+    rest = [items]
+    while rest:
+        for x in map(_element, rest.pop()):
+            if isinstance(x, dict):
+                return True
+            if isinstance(x, list):
+                rest.append(x)
+    return False
 
 
-def scan_paths(obj: dict, sections: tuple[str, ...]) -> tuple[set[str], set[str]]:
-    """(paths that hold a list with an object in it, paths that hold an object), both without positions."""
-    lists, lone = set(), set()
+def scan_paths(obj: dict, sections: tuple[str, ...], with_lone: bool = False) -> set[str]:
+    """The paths that hold a list with an object in it, or instead those that hold an object; both without positions."""
+    got: set[str] = set()
+    at: list[str] = []  # the names from the section down to where the walk is
 
-    def walk_list(items: list, path: str) -> None:
+    def walk_list(items: list) -> Iterator:
+        listed = False
         for x in map(_element, items):
             if isinstance(x, dict):
-                lists.add(path)
-                walk(x, path)
+                if not listed and not with_lone:
+                    got.add(".".join(at))
+                listed = True
+                yield walk(x)
             elif isinstance(x, list):
-                walk_list(x, path)
+                yield walk_list(x)
 
-    def walk(node: dict, path: str) -> None:
+    def walk(node: dict) -> Iterator:
         for k, v in node.items():
-            p = f"{path}.{k}"
+            if not isinstance(v, (dict, list, str)):
+                continue
+            at.append(k)
             if (items := _as_list(v)) is not None:
-                walk_list(items, p)
+                yield walk_list(items)
             elif (one := _lone(v)) is not None:
-                lone.add(p)
-                walk(one, p)
+                if with_lone:
+                    got.add(".".join(at))
+                yield walk(one)
+            at.pop()
 
     for s in sections:
         top = _section(obj.get(s))
-        if isinstance(top, dict):
-            walk(top, s)
-        elif isinstance(top, list):
-            walk_list(top, s)
-    return lists, lone
+        if top is not None:
+            at[:] = [s]
+            descend(walk(top) if isinstance(top, dict) else walk_list(top))
+    return got
 
 
-def explode_object(obj: dict, sections: tuple[str, ...], mixed: frozenset[str], with_fields: bool) -> list[dict]:
-    """The rows of one file: a root row per section and a row per object that is an element of a list."""
+def explode_object(obj: dict, sections: tuple[str, ...], lists: frozenset[str], with_fields: bool) -> list[dict]:
+    """The rows of one file: a root row per section and a row per object that is an element of a list. lists: paths at
+    which a lone object counts as a list of one."""
     out: list[dict] = []
+    ends = {(p.count("."), p.rpartition(".")[2]) for p in lists}  # saves putting paths together that cannot be among them
+    dots = [0]  # in the names of the kind
+    path: list[str] = []  # segments of the path and of the kind where the walk is
+    kind: list[str] = []
 
-    def row(parent: int | None, kind: str, ordinal: int | None, path: str, parent_path: str | None) -> dict:
-        r = {"node_no": len(out), "parent_no": parent, "kind": kind, "ordinal": ordinal, "node_path": path, "parent_path": parent_path, "fields": []}
+    def row(parent: dict | None, ordinal: int | None) -> dict:
+        r = {"node_no": len(out), "parent_no": parent and parent["node_no"], "kind": ".".join(kind), "ordinal": ordinal, "node_path": "".join(path), "parent_path": parent and parent["node_path"], "fields": []}
         out.append(r)
         return r
 
-    def walk_list(items: list, path: str, kind: str, owner: dict) -> None:
+    def walk_list(items: list, owner: dict) -> Iterator:
         for i, x in enumerate(map(_element, items)):
-            if isinstance(x, dict):
-                child = row(owner["node_no"], kind, i, f"{path}[{i}]", owner["node_path"])
-                walk(x, f"{path}[{i}]", kind, child, "")
-            elif isinstance(x, list):
-                walk_list(x, f"{path}[{i}]", kind, owner)
+            if isinstance(x, (dict, list)):
+                path.append(f"[{i}]")
+                yield walk(x, row(owner, i), len(kind)) if isinstance(x, dict) else walk_list(x, owner)
+                path.pop()
 
-    def walk(node: dict, path: str, kind: str, owner: dict, prefix: str) -> None:
+    def walk(node: dict, owner: dict, base: int) -> Iterator:
         for k, v in node.items():
-            p, q = f"{path}.{k}", f"{kind}.{k}"
-            if (items := _as_list(v)) is not None and (not isinstance(v, str) or any(isinstance(_element(x), (dict, list)) for x in items)):
-                walk_list(items, p, q, owner)
-                if with_fields and not _holds_object(items):
-                    owner["fields"].append({"name": prefix + k, "type": "array", "text": json.dumps(items, ensure_ascii=False)})
-            elif q in mixed and (one := _lone(v)) is not None:
-                child = row(owner["node_no"], q, 0, f"{p}[0]", owner["node_path"])
-                walk(one, f"{p}[0]", q, child, "")
-            elif isinstance(v, dict):
-                walk(v, p, q, owner, f"{prefix}{k}.")
+            if isinstance(v, (dict, list, str)):
+                path.append(f".{k}")
+                kind.append(k)
+                dots[0] += k.count(".")
+                below, one = None, None
+                if (items := _as_list(v)) is not None and (not isinstance(v, str) or any(isinstance(_element(x), (dict, list)) for x in items)):
+                    if with_fields and not _holds_object(items):
+                        owner["fields"].append({"name": ".".join(kind[base:]), "type": "array", "text": dump(items)})
+                    below = walk_list(items, owner)
+                elif (len(kind) - 1 + dots[0], k.rpartition(".")[2]) in ends and ".".join(kind) in lists and (one := _lone(v)) is not None:
+                    path.append("[0]")
+                    below = walk(one, row(owner, 0), len(kind))
+                elif isinstance(v, dict):
+                    below = walk(v, owner, base)
+                elif with_fields:
+                    owner["fields"].append({"name": ".".join(kind[base:]), "type": "string", "text": v})
+                if below is not None:
+                    yield below
+                if one is not None:
+                    path.pop()
+                path.pop()
+                kind.pop()
+                dots[0] -= k.count(".")
             elif with_fields:
-                owner["fields"].append({"name": prefix + k, "type": kind_of(v), "text": None if v is None else v if isinstance(v, str) else json.dumps(v)})
+                owner["fields"].append({"name": ".".join([*kind[base:], k]), "type": kind_of(v), "text": None if v is None else dump(v)})
 
     for s in sections:
         top = _section(obj.get(s))
-        if top is None:
-            continue
-        root = row(None, s, None, s, None)
-        if isinstance(top, list):
-            walk_list(top, s, s, root)
-        else:
-            walk(top, s, s, root, "")
+        if top is not None:
+            path[:], kind[:] = [s], [s]
+            root = row(None, None)
+            descend(walk_list(top, root) if isinstance(top, list) else walk(top, root, 1))
     return out
 
 
-def _paths(files: DataFrame, sections: tuple[str, ...]) -> DataFrame:
-    """(path, is_list) pairs that occur, each once per batch."""
+def list_paths(files: DataFrame, sections: tuple[str, ...] = SECTIONS) -> DataFrame:
+    """Merged schema, as far as it decides what is a row: the paths that hold a list of objects in any file."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got: set[tuple[str, bool]] = set()
+            got: set[str] = set()
             for body in b.column("body").to_pylist():
                 if (obj := parse_object(body)) is not None:
-                    lists, lone = scan_paths(obj, sections)
-                    got |= {(p, True) for p in lists} | {(p, False) for p in lone}
-            rows = sorted(got)
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.string()), pa.array([x for _, x in rows], pa.bool_())], names=["path", "is_list"])
+                    got |= scan_paths(obj, sections)
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(got), pa.string())], names=["path"])
 
-    return files.select(F.col("body").cast("string").alias("body")).mapInArrow(scan, "path string, is_list boolean").distinct()
-
-
-def mixed_paths(files: DataFrame, sections: tuple[str, ...] = SECTIONS) -> DataFrame:
-    """Merged schema, as far as files differ in it: paths that are a list of objects in one file and an object in another."""
-    return _paths(files, sections).groupBy("path").agg(F.bool_or("is_list").alias("a"), F.bool_or(~F.col("is_list")).alias("b")).where("a and b").select("path")
+    return files.select(F.col("body").cast("string").alias("body")).mapInArrow(scan, "path string").distinct()
 
 
 def explode_records(files: DataFrame, sections: tuple[str, ...] = SECTIONS, with_fields: bool = True) -> DataFrame:
     """(file_id, node_no, parent_no, kind, ordinal, node_path, parent_path[, fields]) of all files.
 
     Root rows (one per section) have a null ordinal and no parent."""
-    mixed = materialize(mixed_paths(files, sections), "mixed", 1)
-    src = files.select(F.col("file_id").cast("long").alias("file_id"), F.col("body").cast("string").alias("body"))
-    n = mixed.count()
-    if n <= MIXED_LIMIT:
-        shared = frozenset(r.path for r in mixed.collect())
+    lists = materialize(list_paths(files, sections), "lists", 1)
+    src = files.select(F.col("file_id").cast("long").alias("file_id"), F.col("body").cast("string").alias("body")).where("file_id is not null and body is not null")
+    src = src.groupBy("file_id").agg(F.max_by("body", F.struct(F.length("body"), F.col("body"))).alias("body"))
+    n = lists.count()
+    if n <= LIST_LIMIT:
+        shared = frozenset(r.path for r in lists.collect())
         src = src.withColumn("own", F.lit(None).cast("array<string>"))
     else:
         shared = None
 
         def lone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                rows = [(f, p) for f, body in zip(b.column("file_id").to_pylist(), b.column("body").to_pylist()) if (o := parse_object(body)) is not None for p in scan_paths(o, sections)[1]]
+                rows = [(f, p) for f, body in zip(b.column("file_id").to_pylist(), b.column("body").to_pylist()) if (o := parse_object(body)) is not None for p in scan_paths(o, sections, True)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=["file_id", "path"])
 
-        own = src.select("file_id", "body").mapInArrow(lone, "file_id long, path string").join(mixed, "path").groupBy("file_id").agg(F.collect_set("path").alias("own"))
+        own = src.mapInArrow(lone, "file_id long, path string").join(lists, "path").groupBy("file_id").agg(F.collect_set("path").alias("own"))
         src = src.join(own, "file_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,13 +217,12 @@ def explode_records(files: DataFrame, sections: tuple[str, ...] = SECTIONS, with
         for b in batches:
             rows = []
             for f, body, own in zip(*(b.column(c).to_pylist() for c in ("file_id", "body", "own"))):
-                if f is not None and (obj := parse_object(body)) is not None:
+                if (obj := parse_object(body)) is not None:
                     rows.append({"file_id": f, "nodes": explode_object(obj, sections, shared if shared is not None else frozenset(own or ()), with_fields)})
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     nodes = src.mapInArrow(run, f"file_id long, nodes {_NODE_SQL}")
-    once = nodes.groupBy("file_id").agg(F.first("nodes").alias("nodes"))
-    got = once.select("file_id", F.explode("nodes").alias("n")).select("file_id", "n.*")
+    got = nodes.select("file_id", F.explode("nodes").alias("n")).select("file_id", "n.*")
     return got if with_fields else got.drop("fields")
 
 

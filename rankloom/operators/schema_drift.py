@@ -1,10 +1,15 @@
 """Schemas that drift between files.
 
 Method: similarity flooding (Melnik, Garcia-Molina, Rahm, ICDE 2002). The fields seen in all files and the fields of the
-catalogue form two schema graphs whose nodes are places, paths, name tokens, value types and values. Pairs of nodes start
-with a similarity, scores flow along edges of equal label until they converge, and consistent correspondences are
-selected: one to one within a file, and only where the catalogue field is absent from that file. The files are then cast
-to the catalogue's types and united in one table.
+catalogue form two schema graphs whose nodes are objects (nesting), fields, words of names, JSON types and sets of values.
+Pairs of such nodes are the nodes of the connectivity graph. At the start only names count: a pair of words has its likeness, a
+pair of fields that of its words, a pair of types or of value sets the share that is literally the same, a pair of objects
+nothing. Scores then flow along the edges until they converge: into a pair of fields from its words, its value sets, its
+types and, as far as no other field of the catalogue could equally be meant, from the pair of objects around it; from pairs
+of fields back to words, value sets and objects. What flows into a node is divided by its weights, so scores lie between 0
+and 1 without division by the largest one and hardly depend on what else is matched. Consistent correspondences are selected
+by converged score: near the best of their field, one to one within a file, and only where the catalogue field is absent from
+that file. The files are then cast to the catalogue's types and united in one table.
 
 What is distributed: parsing, the statistics of every file, the value comparison (an equi-join on values) and the
 per-file selection. The flooding works on the schema vocabulary, not on files: blocks of BLOCK_PATHS distinct unknown
@@ -19,108 +24,142 @@ gives empty results. Only the named columns are read, so extra columns never cla
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.operators.json_walk import kind_of, parse_object
+from rankloom.operators.json_walk import descend, dump, kind_of, parse_object
 from rankloom.session import materialize
 
 #: The top-level sections that are not watched.
 UNWATCHED = ("model", "retrieval_system", "dataset", "quality", "latency", "storage", "cost", "index", "run")
-BLOCK_PATHS = 4000
-
-_FILE_SCHEMA = "file_id long, build string, month string, items array<struct<path:string,kind:string,text:string,vals:array<string>>>"
+BLOCK_PATHS = 100_000
 
 
 @dataclass(frozen=True)
 class FloodParameters:
-    """rounds, epsilon: of the fixpoint. accept: least score of a correspondence. exclusive: least share of the files
-    with the unknown path in which the catalogue path is absent."""
-
-    rounds: int = 60
-    epsilon: float = 1e-4
-    accept: float = 0.34
+    """rounds, epsilon: of the fixpoint. flow: share of a score that flows in, the rest is its start. words, values, nesting,
+    types: weights of what flows into a pair of fields. accept: least score of a correspondence. near: least share of the
+    best score of its field. exclusive: least share of the files with the unknown path in which the catalogue path is
+    absent."""
+
+    rounds: int = 100
+    epsilon: float = 1e-5
+    flow: float = 0.6
+    words: float = 0.2
+    values: float = 0.45
+    nesting: float = 0.25
+    types: float = 0.1
+    accept: float = 0.17
+    near: float = 0.8
     exclusive: float = 0.9
 
 
+def _number_token(v: int | float) -> str:
+    try:
+        return repr(float(v))
+    except OverflowError:
+        return _text_token(str(v))
+
+
+def _text_token(text: str) -> str:
+    """The text, or a hash of the whole text where it is long."""
+    return text if len(text) <= 80 else "hash:" + hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
 def value_tokens(value) -> list[str]:
     """The value nodes of a field: scalars as text whatever their JSON type, elements of lists, keys of inner objects."""
     out: dict[str, None] = {}
-
-    def add(v, depth: int) -> None:
+    rest = [(value, 0)]
+    while rest:
+        v, depth = rest.pop()
         if v is None:
-            return
+            continue
         if isinstance(v, bool):
             out["true" if v else "false"] = None
         elif isinstance(v, (int, float)):
-            out[repr(float(v)) if abs(v) < 1e300 else "big"] = None
+            out[_number_token(v)] = None
         elif isinstance(v, list):
-            for x in v:
-                add(x, depth + 1)
+            rest += [(x, depth + 1) for x in v]
         elif isinstance(v, dict):
             for k, x in v.items():
-                out["#" + k] = None
+                out["#" + _text_token(k)] = None
                 if not isinstance(x, (dict, list)) and depth == 0:
-                    add(x, depth + 1)
+                    rest.append((x, depth + 1))
         else:
             text = v.strip().lower()
             try:
                 out[repr(float(text))] = None
             except ValueError:
-                out[text if len(text) <= 80 else "long:" + text[:80]] = None
-
-    add(value, 0)
+                out[_text_token(text)] = None
     return list(out)
 
 
-def _walk(node: dict, prefix: str, catalogue: frozenset[str], out: list) -> None:
-    for k, v in node.items():
-        path = f"{prefix}.{k}" if prefix else k
-        if isinstance(v, dict) and path not in catalogue:
-            _walk(v, path, catalogue, out)
-        else:
-            out.append((path, v))
+def leaves(obj: dict, catalogue: frozenset[str]) -> list[tuple[str, object]]:
+    """(path, value) of the leaves below an object; a path of the catalogue is a leaf whatever it holds."""
+    out: list[tuple[str, object]] = []
+    deepest = max((p.count(".") for p in catalogue), default=-1) + 1
+    at: list[str] = []
+
+    def walk(node: dict) -> Iterator:
+        for k, v in node.items():
+            at.append(k)
+            if isinstance(v, dict) and not (len(at) <= deepest and ".".join(at) in catalogue):
+                yield walk(v)
+            else:
+                out.append((".".join(at), v))
+            at.pop()
+
+    descend(walk(obj))
+    return out
 
 
 def _text_of(v) -> str | None:
-    import json
+    return None if v is None else v if isinstance(v, str) else dump(v)
 
-    return None if v is None else v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
 
+_ITEMS = "array<struct<path:string,kind:string,text:string,vals:array<string>>>"
 
-def read_fields(files: DataFrame, catalogue: list[str], unwatched: tuple[str, ...] = UNWATCHED) -> DataFrame:
-    """One row per readable file: its watched leaves with type, text and value nodes. Redelivered files count once."""
+
+def read_fields(files: DataFrame, catalogue: list[str], unwatched: tuple[str, ...] = UNWATCHED, with_text: bool = True) -> DataFrame:
+    """One row per readable file: its watched leaves with type, text (null unless wanted) and value nodes. Redelivered files
+    count once."""
     known, skip = frozenset(catalogue), frozenset(unwatched)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([
-            ("file_id", pa.int64()), ("build", pa.string()), ("month", pa.string()), ("ingested_at", pa.timestamp("us", "UTC")),
-            ("items", pa.list_(pa.struct([("path", pa.string()), ("kind", pa.string()), ("text", pa.string()), ("vals", pa.list_(pa.string()))]))),
-        ])
+        strings = lambda x: pa.array(x, pa.string())
+        offsets = lambda n: pa.array(np.r_[0, np.cumsum(n, dtype=np.int64)], pa.int32())
         for b in batches:
-            rows = []
-            for i, build, month, at, body in zip(*(b.column(c).to_pylist() for c in ("file_id", "build", "month", "ingested_at", "body"))):
-                if (obj := parse_object(body)) is None or i is None:
+            rows, size, paths, kinds, texts, vals = [], [], [], [], [], []
+            for k, (i, body) in enumerate(zip(b.column("file_id").to_pylist(), b.column("body").to_pylist())):
+                if i is None or (obj := parse_object(body)) is None:
                     continue
-                leaves: list = []
-                _walk({k: v for k, v in obj.items() if k not in skip}, "", known, leaves)
-                rows.append({"file_id": i, "build": build, "month": month, "ingested_at": at, "items": [
-                    {"path": p, "kind": kind_of(v), "text": _text_of(v) if p in known or not isinstance(v, (list, dict)) else _text_of(v), "vals": value_tokens(v)} for p, v in leaves]})
-            yield pa.RecordBatch.from_pylist(rows, schema)
+                found = leaves({k: v for k, v in obj.items() if k not in skip}, known)
+                rows.append(k)
+                size.append(len(found))
+                for path, v in found:
+                    paths.append(path)
+                    kinds.append(kind_of(v))
+                    texts.append(_text_of(v) if with_text else None)
+                    vals.append(value_tokens(v))
+            flat = pa.ListArray.from_arrays(offsets([len(v) for v in vals]), strings([x for v in vals for x in v]))
+            items = pa.ListArray.from_arrays(offsets(size), pa.StructArray.from_arrays([strings(paths), strings(kinds), strings(texts), flat], names=["path", "kind", "text", "vals"]))
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(rows, pa.int64())) for c in ("file_id", "build", "month", "ingested_at")), items], names=["file_id", "build", "month", "ingested_at", "items"])
 
     src = files.select(
         F.col("file_id").cast("long").alias("file_id"), F.col("build").cast("string").alias("build"),
         F.date_format("created_at", "yyyy-MM").alias("month"), F.col("ingested_at").cast("timestamp").alias("ingested_at"), F.col("body").cast("string").alias("body"),
     )
-    parsed = src.mapInArrow(parse, "file_id long, build string, month string, ingested_at timestamp, items array<struct<path:string,kind:string,text:string,vals:array<string>>>")
+    parsed = src.mapInArrow(parse, f"file_id long, build string, month string, ingested_at timestamp, items {_ITEMS}")
     first = parsed.groupBy("file_id").agg(F.min_by(F.struct("build", "month", "items"), F.coalesce("ingested_at", F.lit("9999-12-31").cast("timestamp"))).alias("f"))
     return first.select("file_id", "f.build", "f.month", "f.items")
 
@@ -191,76 +230,68 @@ def token_similarity(a: str, b: str) -> float:
     return dice if dice >= 0.5 else 0.0
 
 
-def flood(pairs: pd.DataFrame, p: FloodParameters = FloodParameters()) -> pd.DataFrame:
-    """Scores of (path, field_path) pairs between 0 and 1 by the fixpoint sigma <- norm(sigma0 + sigma + flow).
+def _nodes(keys) -> tuple[np.ndarray, list]:
+    """(number of the node of each key, keys of the nodes)."""
+    own: dict = {}
+    return np.array([own.setdefault(k, len(own)) for k in keys], dtype=np.int64), list(own)
+
 
-    Nodes of the pairwise connectivity graph are path pairs and token pairs; edges are labelled `token` (weighted by how
-    rare the words are in the catalogue), `value` and `type`; value and type pairs are equal nodes and so keep their
-    start similarity, which flows into the path pairs only."""
+def flood(pairs: pd.DataFrame, p: FloodParameters = FloodParameters()) -> pd.DataFrame:
+    """pairs with `score` of each (path, field_path) at the fixpoint, and its start `name`. Needs the columns of
+    pair_statistics. With no round the score is the start."""
+    pairs = pairs.reset_index(drop=True)
     tok = {x: name_tokens(x) for x in {*pairs.path, *pairs.field_path}}
-    fields = sorted(set(pairs.field_path))
-    df = defaultdict(int)
-    for f in fields:
+    held = defaultdict(int)
+    for f in set(pairs.field_path):
         for t in set(tok[f]):
-            df[t] += 1
-    weight = {t: 1.0 / math.sqrt(n) for t, n in df.items()}
-
-    keys = list(zip(pairs.path, pairs.field_path))
-    edges: list[list[tuple[tuple[str, str], float]]] = []  # token pairs of each path pair, with their weights
-    start_t: dict[tuple[str, str], float] = {}
-    for a, b in keys:
-        ws = [weight.get(t, 1.0) for t in tok[b]]
-        total = sum(ws) or 1.0
-        own = []
-        for t, w in zip(tok[b], ws):
-            for s in tok[a]:
-                start_t.setdefault((s, t), token_similarity(s, t))
-                own.append(((s, t), w / total))
-        edges.append(own)
-
-    # start similarity of a path pair: soft matching of its words, its values and its type
-    rows = list(pairs.itertuples(index=False))
-    known_words = {t for f in fields for t in tok[f]}
-
-    def start(i: int, sim: dict[tuple[str, str], float]) -> tuple[float, float]:
-        r = rows[i]
-        a, b = tok[r.path], tok[r.field_path]
-        w = {t: weight.get(t, 1.0) for t in b}
-        cover = sum(w[t] * max((sim[(s, t)] for s in a), default=0.0) for t in b) / (sum(w.values()) or 1.0)
-        back = sum(max((sim[(s, t)] for t in b), default=0.0) for s in a) / (len(a) or 1)
-        return cover, back
-
-    excl = [r.absent / r.n for r in rows]
-    lift = [min(1.0, r.n * math.log(max(r.files, 1) / max(r.field_absent, 1)) / 6.0) if r.field_absent else 0.0 for r in rows]
-    names0, values0 = [], []
-    for i, r in enumerate(rows):
-        cover, back = start(i, start_t)
-        names0.append((2 * cover + back) / 3)
-        values0.append(min(1.0, 0.3 * r.shared + 0.9 * r.rare) if r.shared >= 0.6 else 0.25 * r.shared)
-    sigma0 = [0.55 * nm + 0.45 * v + 0.08 * r.types + 0.07 * li for nm, v, r, li in zip(names0, values0, rows, lift)]
-    sigma0 = [s if e >= p.exclusive else 0.0 for s, e in zip(sigma0, excl)]
-    sigma, tau = list(sigma0), dict(start_t)
-    fan = defaultdict(float)
-    for own, e in zip(edges, excl):
-        if e >= p.exclusive:
-            for k, w in own:
-                fan[k] += w
-    out_deg = [max(1, len(own)) for own in edges]
+            held[t] += 1
+    like: dict[tuple[str, str], float] = {}
+
+    def likeness(s: str, t: str) -> float:
+        if (s, t) not in like:
+            like[s, t] = token_similarity(s, t)
+        return like[s, t]
+
+    # edges between pairs of fields and pairs of words; rare words of the catalogue weigh more
+    name, edges = np.zeros(len(pairs)), []
+    for i, (a, b) in enumerate(zip(pairs.path, pairs.field_path)):
+        weight = {t: 1 / math.sqrt(held[t]) for t in tok[b]}
+        total = sum(weight.values()) or 1.0
+        best = {t: max(tok[a], key=lambda s: likeness(s, t)) for t in weight} if tok[a] else {}
+        edges += [(i, (s, t), weight[t] / total) for t, s in best.items()]
+        cover = sum(weight[t] * likeness(s, t) for t, s in best.items()) / total
+        back = sum(max((likeness(s, t) for t in weight), default=0.0) for s in tok[a]) / (len(tok[a]) or 1)
+        name[i] = (2 * cover + back) / 3
+    of = np.array([i for i, _, _ in edges], dtype=np.int64)
+    weight = np.array([w for _, _, w in edges])
+    word, words = _nodes(k for _, k, _ in edges)
+    around, objects = _nodes((a.rpartition(".")[0], b.rpartition(".")[0]) for a, b in zip(pairs.path, pairs.field_path))
+    member, members = _nodes(zip(around.tolist(), pairs.path))  # an unknown field within a pair of objects
+    owner = np.array([o for o, _ in members], dtype=np.int64)
+    moved = np.array([a != b for a, b in objects], dtype=bool)
+
+    free = (pairs.absent / pairs.n >= p.exclusive).to_numpy()
+    same_type = pairs.types.to_numpy(np.float64)
+    same_values = np.where(pairs.shared >= 0.6, np.minimum(1.0, 0.3 * pairs.shared + 0.9 * pairs.rare), 0.25 * pairs.shared)
+    alike = np.array([like[k] for k in words])
+    fan = np.bincount(word, weights=weight * free[of], minlength=len(words))
+    rivals = np.bincount(member, weights=same_type * free, minlength=len(members))[member]
+    alone = np.divide(same_type * free, rivals, out=np.zeros(len(pairs)), where=rivals > 0)
+    score, w, v, o = np.where(free, name, 0.0), alike, same_values, np.zeros(len(objects))
     for _ in range(p.rounds):
-        flow_t = defaultdict(float)
-        for i, own in enumerate(edges):
-            if sigma0[i]:
-                for k, w in own:
-                    flow_t[k] += sigma[i] * w / out_deg[i]
-        new = [s0 + s + 0.25 * sum(tau[k] * w for k, w in own) if s0 else 0.0 for s0, s, own in zip(sigma0, sigma, edges)]
-        new_t = {k: start_t[k] + tau[k] + (0.25 * flow_t[k] / fan[k] if fan[k] else 0.0) for k in tau}
-        top, top_t = max(new, default=0.0) or 1.0, max(new_t.values(), default=0.0) or 1.0
-        new, new_t = [x / top for x in new], {k: x / top_t for k, x in new_t.items()}
-        change = max((abs(x - y) for x, y in zip(new, sigma)), default=0.0)
-        sigma, tau = new, new_t
+        into = p.words * np.bincount(of, weights=weight * w[word], minlength=len(pairs)) + p.values * v + p.nesting * o[around] * alone + p.types * same_type
+        new = np.where(free, (1 - p.flow) * name + p.flow * into, 0.0)
+        back = np.bincount(word, weights=weight * score[of], minlength=len(words))
+        w = 0.7 * alike + 0.3 * np.divide(back, fan, out=np.zeros(len(words)), where=fan > 0)
+        v = 0.7 * same_values + 0.3 * score
+        best = np.zeros(len(members))
+        np.maximum.at(best, member, score)
+        o = np.where(moved, np.bincount(owner, weights=best, minlength=len(objects)) / np.bincount(owner, minlength=len(objects)), 0.0)
+        change = np.abs(new - score).max(initial=0.0)
+        score = new
         if change < p.epsilon:
             break
-    return pairs.assign(score=sigma, start=sigma0, name=names0, value=values0, excl=excl, lift=lift)
+    return pairs.assign(score=score, name=name, excl=pairs.absent / pairs.n)
 
 
 def correspondences(stats: DataFrame, p: FloodParameters = FloodParameters()) -> DataFrame:
@@ -276,13 +307,9 @@ def correspondences(stats: DataFrame, p: FloodParameters = FloodParameters()) ->
 
 
 def select_pairs(scored: pd.DataFrame, p: FloodParameters = FloodParameters()) -> pd.DataFrame:
-    """Consistent correspondences: enough evidence of its own kind, and not far below the best pair of the path."""
-    # the evidence of a pair: its words, or values that hardly another field takes
-    evidence = scored[["name", "value"]].max(axis=1)
-    ok = (scored.excl >= p.exclusive) & (scored.score >= p.accept) & ((scored.name >= 0.45) | (scored.value >= 0.6) | (0.5 * scored.name + 0.5 * scored.value >= 0.45)) & (evidence > 0)
-    got = scored[ok]
-    best = got.groupby("path").score.transform("max")
-    return got[got.score >= 0.8 * best]
+    """Consistent correspondences: high scores of paths that stand in for absent ones, not far below the best of the path."""
+    got = scored[(scored.excl >= p.exclusive) & (scored.score >= p.accept)]
+    return got[got.score >= p.near * got.groupby("path").score.transform("max")]
 
 
 # --- changes per file, the one table, the report --------------------------------------------------------------------
@@ -315,9 +342,9 @@ def changes(fields: DataFrame, mapping: DataFrame, catalogue: list[tuple[str, st
         known = {c for c, _, _ in catalogue}
         for b in batches:
             rows = []
-            for f, build, month, items, cands in zip(*(b.column(c).to_pylist() for c in ("file_id", "build", "month", "items", "cands"))):
-                paths = {i["path"]: i["kind"] for i in items}
-                got = _assign(paths, cands)
+            for f, build, month, names, kinds, cands in zip(*(b.column(c).to_pylist() for c in ("file_id", "build", "month", "paths", "kinds", "cands"))):
+                paths = dict(zip(names, kinds))
+                got = _assign(paths, cands) if cands else {}
                 for c, json_type, required in catalogue:
                     at = c if c in paths else got.get(c)
                     if at is None:
@@ -332,7 +359,8 @@ def changes(fields: DataFrame, mapping: DataFrame, catalogue: list[tuple[str, st
                 rows += [(f, build, month, x, "added", x) for x in paths if x not in known and x not in new]
             yield pa.RecordBatch.from_arrays([pa.array(col, t.type) for col, t in zip(list(zip(*rows)) or [[]] * 6, schema)], schema=schema)
 
-    return _with_matches(fields, mapping).mapInArrow(emit, "file_id long, build string, month string, field_path string, change string, found_path string")
+    rows = _with_matches(fields, mapping).select("file_id", "build", "month", F.col("items.path").alias("paths"), F.col("items.kind").alias("kinds"), "cands")
+    return rows.mapInArrow(emit, "file_id long, build string, month string, field_path string, change string, found_path string")
 
 
 _CAST = {"string": "string", "boolean": "boolean", "integer": "bigint", "number": "double", "array": "string", "object": "string"}
@@ -374,13 +402,13 @@ class Drift:
         return self.changes().groupBy("build", "month", "field_path", "change").agg(F.count_distinct("file_id").alias("files"))
 
 
-def detect(files: DataFrame, catalogue: DataFrame, p: FloodParameters = FloodParameters()) -> Drift:
+def detect(files: DataFrame, catalogue: DataFrame, p: FloodParameters = FloodParameters(), with_text: bool = True) -> Drift:
     """Reads all files once, learns the correspondences over all of them and returns the views on the result.
 
     files: file_id, build, created_at, ingested_at, body. catalogue: field_path, json_type, required (a fixed table; it
-    is read on the driver)."""
+    is read on the driver). with_text: whether the table of the result will be asked for."""
     cat = catalogue.select("field_path", "json_type", F.coalesce("required", F.lit(False)).alias("required")).where("field_path is not null").distinct()
     rows = sorted((r.field_path, r.json_type, r.required) for r in cat.collect())
-    fields = materialize(read_fields(files, [r[0] for r in rows]), "drift")
+    fields = materialize(read_fields(files, [r[0] for r in rows], with_text=with_text), "drift")
     mapping = materialize(correspondences(pair_statistics(fields, cat), p), "drift-map", 1)
     return Drift(fields, mapping, rows)

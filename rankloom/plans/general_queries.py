@@ -12,8 +12,8 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def _drift(spark: SparkSession, sf: str) -> schema_drift.Drift:
-    return schema_drift.detect(_t(spark, sf, "result_files"), _t(spark, sf, "schema_catalog"))
+def _drift(spark: SparkSession, sf: str, with_text: bool = False) -> schema_drift.Drift:
+    return schema_drift.detect(_t(spark, sf, "result_files"), _t(spark, sf, "schema_catalog"), with_text=with_text)
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -21,7 +21,7 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_table(spark: SparkSession, sf: str) -> DataFrame:
-    return _drift(spark, sf).table()
+    return _drift(spark, sf, with_text=True).table()
 
 
 def p1_report(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,5 +1,7 @@
 import json
 
+import pandas as pd
+
 import pytest
 
 from rankloom.operators import schema_drift as sd
@@ -64,3 +66,46 @@ def test_words(a, b, least):
 
 def test_name_words():
     assert sd.name_tokens("benchmark_protocol.gpuHourly.usd_perHour2") == ["gpu", "hourly", "usd", "per", "hour", "2"]
+
+
+def statistics(*rows):
+    """(path, field_path, shared values, same type) of pairs whose catalogue field is always absent."""
+    return pd.DataFrame([{"path": a, "field_path": b, "n": 20, "absent": 20, "files": 100, "field_absent": 20, "shared": v, "rare": v, "types": t} for a, b, v, t in rows])
+
+
+def chosen(stats, rounds):
+    p = sd.FloodParameters(rounds=rounds)
+    got = sd.select_pairs(sd.flood(stats, p), p).sort_values("score", ascending=False).drop_duplicates("field_path")
+    return dict(zip(got.field_path, got.path))
+
+
+def test_flow_from_values_overturns_a_misleading_name():
+    stats = statistics(("p.trial_queries", "p.warmup_queries", 1.0, 1.0), ("p.warmup_queries_note", "p.warmup_queries", 0.0, 0.0))
+    assert chosen(stats, 0) == {"p.warmup_queries": "p.warmup_queries_note"}  # names alone are wrong
+    assert chosen(stats, 100) == {"p.warmup_queries": "p.trial_queries"}
+
+
+def test_siblings_identify_a_leaf_of_a_moved_object():
+    moved = [(f"p.rig.{x}", f"p.{x}", 1.0, 1.0) for x in ("seed", "size", "mode")]
+    stats = statistics(*moved, ("p.rig.zeta", "p.label", 0.0, 1.0), ("p.other.omega", "p.label", 0.0, 1.0))
+    want = {f"p.{x}": f"p.rig.{x}" for x in ("seed", "size", "mode")}
+    assert chosen(stats, 0) == want and chosen(stats, 100) == want | {"p.label": "p.rig.zeta"}
+
+
+def test_scores_do_not_depend_on_unrelated_paths():
+    stats = statistics(("p.maxLen", "p.max_len", 0.4, 1.0), ("p.dtype", "p.precision", 1.0, 1.0))
+    more = statistics(*[(f"q.u{i}", "q.other", 0.1, 1.0) for i in range(50)])
+    a, b = sd.flood(stats), sd.flood(pd.concat([stats, more]))
+    assert abs(a.score.to_numpy() - b.score.to_numpy()[:2]).max() < 1e-3
+
+
+def test_long_values_and_huge_numbers_are_told_apart():
+    a, b = sd.value_tokens("x" * 90 + "1"), sd.value_tokens("x" * 90 + "2")
+    assert a != b and a == sd.value_tokens("X" * 90 + "1 ")
+    assert sd.value_tokens(10**400) != sd.value_tokens(10**400 + 1) and sd.value_tokens(1e305) != sd.value_tokens(1e306)
+
+
+def test_any_depth(spark):
+    deep = '{"a":' * 50_000 + "1" + "}" * 50_000
+    got, _ = found(spark, [(1, json.dumps(good(0))[:-1] + f', "deep": {deep}}}'), (2, json.dumps(good(0))[:-1] + ', "list": ' + "[" * 50_000 + "]" * 50_000 + "}")])
+    assert {(i, c, len(f)) for i, f, c in got} == {(1, "added", 4 + 2 * 50_000), (2, "added", 4)}
