@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankloom.operators import measures
 from rankloom.plans import leaderboard as lb
-from rankloom.plans.retrieval_queries import dataset
+from rankloom.plans.retrieval_queries import _QS, _RELS, dataset
 from rankloom.sources import results, sinks
 
 
@@ -156,7 +156,15 @@ def latency_summary(spark, sf):
 
 
 def latency_sample(spark, sf):
-    return measures.latency_sample(dataset(spark, sf).queries.select("dataset", "query_id"), ["dataset"], 20)
+    return measures.latency_sample(dataset(spark, sf).queries.select("dataset", "query_id"), ["dataset"])
+
+
+def latency_sample_kept(spark, sf):
+    """What a fixed sample must hold in each dataset: min(200, n) different positions, each of the query at that place."""
+    q = dataset(spark, sf).queries.select("dataset", "query_id")
+    s = measures.latency_sample(q, ["dataset"])
+    place = q.withColumn("place", F.row_number().over(Window.partitionBy("dataset").orderBy("query_id")) - 1)
+    return s.join(place, ["dataset", "query_id"]).groupBy("dataset").agg(F.count_distinct("position").alias("sampled"), F.bool_and(F.col("position") == F.col("place")).alias("in_place"))
 
 
 def batch_cyclic(spark, sf):
@@ -192,10 +200,38 @@ def result_paths(spark, sf):
 
 
 def cache_keys(spark, sf):
-    """Content keys of representations: the first 24 hex digits of a hash over the sorted fields."""
-    f = _runs(spark, sf).select("benchmark", "dataset", "model_id", "truncate_dim").distinct()
-    text = F.concat_ws("|", "benchmark", "dataset", "model_id", F.coalesce(F.col("truncate_dim").cast("string"), F.lit("")))
-    return f.select("benchmark", "dataset", "model_id", _d("truncate_dim"), F.substring(F.sha2(text, 256), 1, 24).alias("key"))
+    """Content keys of representations: the first 24 hex digits of a hash over the sorted fields as JSON."""
+    f = _runs(spark, sf).select("benchmark", "dataset", "family", "model_id", "truncate_dim").distinct()
+    null = F.lit(None).cast("string")
+    key = sinks.cache_key(
+        schema_version=F.lit("0.2"), kind=F.lit("corpus"), family=F.col("family"), model_id=F.col("model_id"), dataset_id=F.concat_ws("/", "benchmark", "dataset"), dataset_name=F.col("dataset"), split=F.lit("test"), query_limit=null,
+        representation_key=sinks.representation_key(F.col("family"), F.col("truncate_dim"), null))
+    return f.select("benchmark", "dataset", "family", "model_id", _d("truncate_dim"), key.alias("key"))
+
+
+def coverage_report(spark, sf):
+    return lb.coverage_report(*_requirements(spark, sf))
+
+
+def plot_rows(spark, sf):
+    return lb.plot_rows(_runs(spark, sf)).select("file_id", "benchmark", "dataset", "family", "model_id", "system", _r("ndcg_at_10"), _r("e2e_ms_p50"), _r("storage_gb", 9))
+
+
+def best_part(spark, sf):
+    return lb.best_part(_runs(spark, sf), ["benchmark", "dataset", "system", "model_id"]).select("benchmark", "dataset", "system", "model_id", "file_id")
+
+
+def component_bytes(spark, sf):
+    return lb.backfill(_runs(spark, sf)).select("file_id", _r("component_bytes"))
+
+
+def axis_ticks(spark, sf):
+    a = lb.axis_stats(_runs(spark, sf), ["benchmark"], "e2e_ms_p50", "ndcg_at_10")
+    return a.select("benchmark", F.explode("tick_values").alias("tick"))
+
+
+def benchmarks_in_order(spark, sf):
+    return _runs(spark, sf).select("benchmark", lb.benchmark_order(F.col("benchmark")).cast("long").alias("place")).distinct()
 
 
 QUERIES = {
@@ -203,7 +239,7 @@ QUERIES = {
     for f in (
         facts_normalised, facts_labels, facts_status, pick_index_bytes, hybrid_backfill, coverage_requirements, coverage_missing, coverage_latency_problem, best_candidate, needs_latency, inventory, export_summary,
         complete_configs, complete_configs_runs, component_map_mean, pareto_frontier, pareto_knee, pareto_picks, leaderboard, leaderboard_dataset, leader, axis_stats, latency_summary, latency_sample, batch_cyclic,
-        cost, storage, skip_small_corpus, skip_existing, result_paths, cache_keys,
+        cost, storage, skip_small_corpus, skip_existing, result_paths, cache_keys, latency_sample_kept, coverage_report, plot_rows, best_part, component_bytes, axis_ticks, benchmarks_in_order,
     )
 }
 
@@ -222,7 +258,7 @@ _F = f"""raw AS (SELECT file_id, file_path, CASE WHEN json_valid(body) THEN body
 f AS (SELECT DISTINCT file_id, file_path, {_txt("dataset.benchmark")} AS benchmark, {_txt("dataset.name")} AS dataset, {_num("dataset.query_rows")}::BIGINT AS query_rows, {_txt("model.id")} AS model_id, {_num("model.truncate_dim")}::BIGINT AS truncate_dim,
   coalesce({_txt("retrieval_system.family")}, {_txt("model.family")}, 'unknown') AS family, coalesce({_txt("retrieval_system.name")}, 'dense-flat') AS system, coalesce(json_extract_string(j, '$.retrieval_system.exact') = 'true', false) AS exact,
   {_txt("status")} AS status_given, {_txt("latency.status")} AS latency_status, {_num("latency.e2e_query_ms_p50")} AS e2e, {_num("latency.latency_sample_size")}::BIGINT AS sample_size, {_num("latency.retrieval_ms_p50_topk100")} AS ret,
-  json_extract(j, '$.latency.component_e2e_ms_p50') AS comp, {", ".join(f"{_num('quality.' + m)} AS {m}" for m in results.QUALITY)}, {", ".join(f"{_num('storage.' + k)} AS {k}" for k in results.INDEX_BYTES)},
+  json_extract(j, '$.latency.component_e2e_ms_p50') AS comp, json_extract(j, '$.storage.component_index_bytes') AS comp_bytes, {", ".join(f"{_num('quality.' + m)} AS {m}" for m in results.QUALITY)}, {", ".join(f"{_num('storage.' + k)} AS {k}" for k in results.INDEX_BYTES)},
   {_num("cost.cost_per_million_queries_usd")} AS usd, coalesce({", ".join(f"nullif({_txt(s + 'precision')}, '')" for s in ("run.", "latency.", "model.", "system.", "retrieval_system.", ""))}, 'unknown') AS prec, coalesce({_txt("run.hardware_label")}, {_txt("system.platform")}, 'unknown') AS hw
   FROM raw WHERE json_type(j) = 'OBJECT' AND json_type(j, '$.model') IS NOT NULL AND json_type(j, '$.dataset') IS NOT NULL AND json_type(j, '$.quality') IS NOT NULL AND json_extract_string(j, '$.schema_version') = '0.3' AND json_type(j, '$.schema_version') = 'VARCHAR'),
 r AS (SELECT *, coalesce({", ".join(results.INDEX_BYTES)}) AS index_bytes, CASE WHEN status_given IN ('not_applicable_small_corpus', 'failed', 'pending', 'quality_only', 'latency_skipped') THEN status_given WHEN latency_status = 'skipped' THEN 'quality_only'
@@ -246,7 +282,7 @@ knee AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER
 SQL = {
     "facts_normalised": _WITH + f"SELECT file_id, benchmark, dataset, model_id, truncate_dim::DOUBLE AS truncate_dim, family, system, exact, status, compression, prec AS precision, hw AS hardware, query_rows, {_Q6}, round(e2e, 6) AS e2e_ms_p50, sample_size::DOUBLE AS sample_size, round(index_bytes, 6) AS index_bytes, round(index_bytes / 1e9, 9) AS storage_gb, round(usd, 6) AS cost_per_million_queries_usd FROM r",
     "facts_labels": _WITH + f"""SELECT DISTINCT model_id, truncate_dim::DOUBLE AS truncate_dim, benchmark, dataset, system,
-  array_to_string(list_transform(list_filter(str_split(replace(replace(replace(replace(str_split(model_id, '/')[-1], '-', ' '), 'bge', 'BGE'), 'gte', 'GTE'), 'nv', 'NV'), ' '), lambda w: w <> ''), lambda w: CASE WHEN upper(w) IN ('BGE', 'GTE', 'NV', 'E5') THEN upper(w) ELSE upper(w[1]) || w[2:] END), ' ') || CASE WHEN truncate_dim > 0 THEN ' @' || truncate_dim || 'd' ELSE '' END AS model_label,
+  array_to_string(list_transform(regexp_extract_all(str_split(model_id, '/')[-1], '[^-\\s]+'), lambda w: CASE WHEN lower(w) IN ('bge', 'gte', 'nv', 'e5') THEN upper(w) ELSE upper(w[1]) || w[2:] END), ' ') || CASE WHEN truncate_dim > 0 THEN ' @' || truncate_dim || 'd' ELSE '' END AS model_label,
   CASE WHEN benchmark = 'bright' THEN 'BRIGHT ' || {_TITLE.format('dataset')} WHEN benchmark = 'limit' THEN 'LIMIT' ELSE {_TITLE.format('dataset')} END AS dataset_label, {_LABELS_SQL} AS system_label FROM r""",
     "facts_status": _WITH + "SELECT status_given, status, count(*) AS n FROM r GROUP BY 1, 2",
     "pick_index_bytes": _WITH + f"SELECT file_id, index_bytes AS seven_keys, coalesce({', '.join(results.INDEX_BYTES[:-1])}) AS six_keys FROM r",
@@ -298,5 +334,24 @@ SELECT benchmark, round(lo, 6) AS lo, round(hi, 6) AS hi, coalesce(n >= 2 AND hi
     "skip_small_corpus": "SELECT dataset, system, docs, CASE WHEN system = 'dense-opq-ivfpq' AND docs < 10000 THEN 'not_applicable_small_corpus' END AS status FROM (SELECT dataset, count(DISTINCT doc_id) AS docs FROM corpus GROUP BY 1), (VALUES ('dense-flat'), ('dense-opq-ivfpq')) s(system)",
     "skip_existing": _WITH + f", {_REQ} SELECT benchmark, dataset, system, model_id FROM req q WHERE model_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM r WHERE r.benchmark = q.benchmark AND r.dataset = q.dataset AND r.system = q.system AND q.model_id = r.model_id AND e2e IS NOT NULL AND coalesce(latency_status, '') <> 'skipped')",
     "result_paths": _WITH + "SELECT file_id, concat_ws('/', 'results', benchmark, dataset, system, replace(replace(model_id, '/', '__'), ' ', '_') || '.seq512.json') AS path FROM r",
-    "cache_keys": _WITH + "SELECT DISTINCT benchmark, dataset, model_id, truncate_dim::DOUBLE AS truncate_dim, sha256(concat_ws('|', benchmark, dataset, model_id, coalesce(truncate_dim::VARCHAR, '')))[1:24] AS key FROM r",
+    "cache_keys": _WITH + """SELECT DISTINCT benchmark, dataset, family, model_id, truncate_dim::DOUBLE AS truncate_dim,
+  sha256('{"dataset_id": ' || to_json(concat_ws('/', benchmark, dataset))::VARCHAR || ', "dataset_name": ' || coalesce(to_json(dataset)::VARCHAR, 'null') || ', "family": ' || to_json(family)::VARCHAR || ', "kind": "corpus", "model_id": ' || coalesce(to_json(model_id)::VARCHAR, 'null')
+    || ', "query_limit": null, "representation_key": ' || CASE WHEN family = 'dense' AND truncate_dim IS NOT NULL THEN '"dim' || truncate_dim || '"' ELSE 'null' END || ', "schema_version": "0.2", "split": "test"}')[1:24] AS key FROM r""",
+    "latency_sample_kept": f"WITH {_RELS}, {_QS} SELECT dataset, least(200, count(*)) AS sampled, true AS in_place FROM qs GROUP BY 1",
+    "coverage_report": _WITH + f""", {_REQ}, c AS (SELECT q.benchmark, q.dataset, q.system, q.model_id, require_latency, file_id, status_given, e2e, query_rows, sample_size, row_number() OVER (PARTITION BY q.benchmark, q.dataset, q.system, q.model_id {_BEST}) AS o
+  FROM req q JOIN r ON r.benchmark = q.benchmark AND r.dataset = q.dataset AND r.system = q.system AND (q.model_id IS NULL OR q.model_id = r.model_id)),
+p AS (SELECT *, CASE WHEN query_rows > 0 THEN least(200, query_rows) ELSE 200 END AS want FROM c WHERE o = 1 AND require_latency),
+bad AS (SELECT benchmark, dataset, system, model_id, CASE WHEN coalesce(status_given IN {_SKIP}, false) THEN NULL WHEN e2e IS NULL THEN 'missing e2e_query_ms_p50' WHEN sample_size IS DISTINCT FROM want THEN 'stale sample size ' || coalesce(sample_size::VARCHAR, 'None') || ', expected ' || want END AS problem FROM p
+  UNION ALL SELECT benchmark, dataset, system, model_id, 'missing' FROM req q WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.benchmark = q.benchmark AND r.dataset = q.dataset AND r.system = q.system AND (q.model_id IS NULL OR q.model_id = r.model_id)))
+SELECT concat_ws(' / ', benchmark, dataset, system, coalesce(model_id, 'any model')) AS requirement, problem FROM bad WHERE problem IS NOT NULL""",
+    "plot_rows": _WITH + "SELECT file_id, benchmark, dataset, family, model_id, system, round(ndcg_at_10, 6) AS ndcg_at_10, round(e2e, 6) AS e2e_ms_p50, round(index_bytes / 1e9, 9) AS storage_gb FROM r WHERE coalesce(status_given, 'completed') = 'completed' AND ndcg_at_10 IS NOT NULL AND e2e IS NOT NULL",
+    "best_part": _WITH + """SELECT benchmark, dataset, system, model_id, file_id FROM (SELECT *, row_number() OVER (PARTITION BY benchmark, dataset, system, model_id ORDER BY (NOT contains(str_split(file_path, '/')[-1], '.seq512')), length(str_split(file_path, '/')[-1]), str_split(file_path, '/')[-1], file_id) AS o
+  FROM r WHERE status_given IS NULL OR status_given IN ('completed', 'quality_only', 'latency_skipped')) WHERE o = 1""",
+    "component_bytes": _WITH + f""", one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY benchmark, dataset, model_id, system ORDER BY file_path DESC, file_id DESC) AS o FROM r) WHERE o = 1),
+m AS (SELECT h.file_id, coalesce(TRY_CAST(json_extract_string(h.comp_bytes, '$.' || p.part) AS DOUBLE), c.index_bytes) AS v FROM r h JOIN {_PARTS_SQL} ON h.system = p.system LEFT JOIN one c ON c.benchmark = h.benchmark AND c.dataset = h.dataset AND c.model_id = h.model_id AND c.system = p.part_system WHERE h.family = 'hybrid'),
+a AS (SELECT file_id, CASE WHEN count(v) = count(*) THEN sum(v) END AS v FROM m GROUP BY 1)
+SELECT r.file_id, round(v, 6) AS component_bytes FROM r LEFT JOIN a USING (file_id) WHERE family = 'hybrid'""",
+    "axis_ticks": _WITH + """, g AS (SELECT benchmark, min(e2e) FILTER (WHERE e2e > 0) AS lo, max(e2e) FILTER (WHERE e2e > 0) AS hi FROM r GROUP BY 1),
+t AS (SELECT unnest([0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1, 2, 5, 10, 20, 50, 100, 200, 500, 1000, 2000, 5000, 10000, 20000, 50000, 100000])::DOUBLE AS tick) SELECT benchmark, tick FROM g, t WHERE tick >= lo / 1.5 AND tick <= hi * 1.5""",
+    "benchmarks_in_order": _WITH + "SELECT DISTINCT benchmark, CASE benchmark WHEN 'beir' THEN 1 WHEN 'bright' THEN 2 WHEN 'limit' THEN 3 ELSE 4 END AS place FROM r",
 }

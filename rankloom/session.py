@@ -29,10 +29,13 @@ def build_session(app: str = "rankloom", master: str | None = None, shuffle_part
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir of the session, or a temporary one where that is unset
-    (single-machine tests only)."""
+    """The folder that all executors share: spark.checkpoint.dir of the session. Where that is unset, a temporary one in local
+    mode; on a cluster that is an error, as executors would write to disks of their own."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="rankloom-")
         spark.conf.set("spark.checkpoint.dir", root)
         _written.append((spark, root))

@@ -5,6 +5,7 @@ object gives no row. A number counts only where the file holds a JSON number (ne
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +64,7 @@ def facts(files: DataFrame, any_version: bool = False) -> DataFrame:
         F.coalesce(F.try_variant_get("j", "$.retrieval_system.exact", "boolean"), F.lit(False)).alias("exact"), text("status").alias("status_given"), text("latency.status").alias("latency_status"),
         number("latency.e2e_query_ms_p50").alias("e2e_ms_p50"), F.coalesce(*[number(f"latency.{k}") for k in P99]).alias("e2e_ms_p99"), number("latency.query_encode_ms_p50").alias("encode_ms_p50"),
         number("latency.retrieval_ms_p50_topk100").alias("retrieval_ms_p50"), number("latency.latency_sample_size").cast("long").alias("sample_size"),
+        F.try_variant_get("j", "$.retrieval_system.params.components", "array<string>").alias("components"), *[text(f"retrieval_system.params.{c}").alias(c) for c in ("dense_model", "dense_system", "li_model", "li_system")],
         F.try_variant_get("j", "$.latency.component_e2e_ms_p50", "map<string,double>").alias("component_ms"), F.try_variant_get("j", "$.storage.component_index_bytes", "map<string,double>").alias("component_bytes"),
         *[number(f"quality.{m}").alias(m) for m in QUALITY], *[number(f"storage.{k}").alias(k) for k in INDEX_BYTES], number("storage.index_bytes_per_doc").alias("index_bytes_per_doc"),
         number("cost.cost_per_million_queries_usd").alias("cost_per_million_queries_usd"),
@@ -71,6 +73,18 @@ def facts(files: DataFrame, any_version: bool = False) -> DataFrame:
     ).dropDuplicates(["file_id"])
 
 
+def first_source(spark: SparkSession, folders: list[str], fallback: DataFrame) -> DataFrame:
+    """The JSON rows of the first of the folders that can be read, else the fallback."""
+    for folder in folders:
+        try:
+            got = spark.read.json(folder)
+        except AnalysisException:
+            continue
+        if got.columns and "_corrupt_record" not in got.columns:
+            return got
+    return fallback
+
+
 def read_sidecar(sidecars: DataFrame) -> DataFrame:
     """(query_id, rank, doc_id, score) of rankings sidecars (body)."""
     schema = "queries array<struct<query_id:string,qrels:map<string,double>,hits:array<struct<rank:int,doc_id:string,score:double>>>>"

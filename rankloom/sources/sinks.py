@@ -63,3 +63,34 @@ def merge_measurements(facts: DataFrame, measured: DataFrame, key: list[str], co
     """facts with the given columns replaced where a new measurement exists; write it to another path than it came from."""
     m = measured.select(*key, *[F.col(c).alias(f"_new_{c}") for c in columns])
     return reduce(lambda d, c: d.withColumn(c, F.coalesce(f"_new_{c}", c)).drop(f"_new_{c}"), columns, facts.join(m, key, "left"))
+
+
+def cache_key(**fields: Column) -> Column:
+    """24 hex digits of the SHA-256 of the fields as JSON in the order of their names, null where a field is null."""
+    quoted = lambda c: F.coalesce(F.to_json(F.struct(c.alias("v"))), F.lit("{}"))
+    parts = [F.concat(F.lit(f'"{k}": '), F.coalesce(F.nullif(F.regexp_extract(quoted(fields[k]), r'(?s)^\{"v":(.*)\}$', 1), F.lit("")), F.lit("null"))) for k in sorted(fields)]
+    return F.substring(F.sha2(F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}")), 256), 1, 24)
+
+
+def representation_key(family: Column, truncate_dim: Column, max_seq_length: Column) -> Column:
+    """What tells representations of one model apart; only dense ones have a key."""
+    part = lambda name, c: F.when(c.isNotNull(), F.concat(F.lit(name), c.cast("string")))
+    return F.when(family == "dense", F.nullif(F.concat_ws("-", part("dim", truncate_dim), part("seq", max_seq_length)), F.lit("")))
+
+
+def provenance(spark: SparkSession, hardware: str = "unknown", commit: str | None = None) -> dict[str, object]:
+    """Where and when a run was made, as literals of its row."""
+    import platform
+    from datetime import UTC, datetime
+
+    return {"created_at": datetime.now(UTC).isoformat(), "platform": platform.platform(), "hardware_label": hardware, "git_sha": commit, "spark": spark.version, "parallelism": spark.sparkContext.defaultParallelism}
+
+
+def fact_rows(cells: DataFrame, quality: DataFrame, key: list[str], run: dict[str, object]) -> DataFrame:
+    """Facts of sparse and hybrid runs: cells with their measured quality and the provenance of the run as a struct."""
+    return cells.join(quality, key, "left").withColumn("run", F.struct(*[F.lit(v).alias(k) for k, v in run.items()])).withColumn("schema_version", F.lit("0.3"))
+
+
+def write_hybrid_manifest(rows: DataFrame, path: str) -> None:
+    """One JSON row per hybrid run: its path, system and parts."""
+    rows.write.mode("overwrite").json(path, ignoreNullFields=False)
