@@ -8,7 +8,8 @@ moves in `flat`: each partition keeps its own k best per query and only those ar
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,10 @@ from rankloom.operators.topk import ranked
 QUERY_BLOCK = 50_000
 
 
+# Numbers of sub-vectors, the first that fits is taken.
+PQ_PARTS = (32, 24, 16, 12, 8, 6, 4, 2, 1)
+
+
 def nlist(n: int) -> int:
     """Coarse lists of an inverted file over n vectors."""
     return 1 if n <= 1 else max(1, min(max(16, int(4 * math.sqrt(n))), 256, n))
@@ -34,7 +39,7 @@ def nlist_expr(n):
 def pq_parts(n: int, dims: int, requested: int = 32) -> int:
     """Sub-vectors of a product quantiser: the first of the choices that divides dims and has enough training vectors,
     else the first that divides dims."""
-    choices = [requested, 32, 24, 16, 12, 8, 6, 4, 2, 1]
+    choices = [requested, *PQ_PARTS]
     for need in (True, False):
         for m in choices:
             if m > 0 and dims % m == 0 and (not need or n >= max(256, 128 * m)):
@@ -43,7 +48,7 @@ def pq_parts(n: int, dims: int, requested: int = 32) -> int:
 
 
 def pq_parts_expr(n, dims, requested: int = 32):
-    choices = F.array(*[F.lit(m) for m in (requested, 32, 24, 16, 12, 8, 6, 4, 2, 1)])
+    choices = F.array(*[F.lit(m) for m in (requested, *PQ_PARTS)])
     divides = F.filter(choices, lambda m: dims % m == 0)
     return F.coalesce(F.try_element_at(F.filter(divides, lambda m: n >= F.greatest(F.lit(256), 128 * m)), F.lit(1)), F.try_element_at(divides, F.lit(1)), F.lit(1))
 
@@ -117,18 +122,57 @@ def flat(corpus: DataFrame, queries: DataFrame, k: int, by: list[str], exclude_s
     return ranked(out, [*by, "query_id"], "score", ["doc_id"], k)
 
 
+def by_blocks(queries: DataFrame, search: Callable[[DataFrame], DataFrame], block: int | None = None) -> DataFrame:
+    """search() of all queries, in passes of about `block` (QUERY_BLOCK); each pass has whole queries, so results simply add up."""
+    passes = max(1, math.ceil(queries.count() / (block or QUERY_BLOCK)))
+    if passes == 1:
+        return search(queries)
+    parts = [search(queries.where(F.pmod(F.xxhash64("query_id", F.lit(5)), F.lit(passes)) == i)) for i in range(passes)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def binary_rerank(corpus: DataFrame, queries: DataFrame, k: int, by: list[str], dims: int, candidates: int = 1000) -> DataFrame:
-    """Sign codes, the nearest candidates by Hamming distance, then exact re-ranking. The vectors travel with the codes of
-    the candidates only after the cut. At most QUERY_BLOCK queries per call: their codes go to every partition of the
-    corpus, which stays where it is, however large a group may be."""
+    """Sign codes, the nearest candidates by Hamming distance, then exact re-ranking. Each Arrow batch of the corpus, which
+    stays where it is, compares its packed codes with those of all queries, and sends on its own nearest candidates with
+    their exact scores, so that no vector moves."""
+    return by_blocks(queries, lambda part: _binary_rerank(corpus, part, k, by, dims, max(candidates, k)))
+
+
+def _binary_rerank(corpus: DataFrame, queries: DataFrame, k: int, by: list[str], dims: int, candidates: int) -> DataFrame:
     spark = corpus.sparkSession
-    if queries.count() > QUERY_BLOCK:
-        raise ValueError(f"more than {QUERY_BLOCK} queries in one call: search in blocks")
+    key = F.concat_ws("\u0001", *by) if by else F.lit("")
+    pdf = queries.select(key.alias("g"), *[F.col(b).alias(f"b{j}") for j, b in enumerate(by)], "query_id", "v").toPandas()
+    names = [*[f"b{j}" for j in range(len(by))], "query_id"]
+    asked = {g: (list(t[names].itertuples(index=False, name=None)), np.stack([np.asarray(v, np.float64) for v in t.v])) for g, t in pdf.groupby("g")}
+    sent = spark.sparkContext.broadcast(asked)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    c = corpus.select(*by, "doc_id", V.sign_words(F.col("v"), dims).alias("code")).repartition(parts)
-    q = queries.select(*by, "query_id", F.col("v").alias("qv"), V.sign_words(F.col("v"), dims).alias("qcode"))
-    asked = F.broadcast(q.select(*by, "query_id", "qcode"))
-    pairs = c.join(asked, by) if by else c.crossJoin(asked)
-    near = ranked(pairs.select(*by, "query_id", "doc_id", V.hamming(F.col("code"), F.col("qcode")).alias("distance")), [*by, "query_id"], "distance", ["doc_id"], max(candidates, k), ascending=True, digits=None).drop("rank")
-    scored = near.join(corpus.select(*by, "doc_id", "v"), [*by, "doc_id"]).join(q.select(*by, "query_id", "qv"), [*by, "query_id"])
-    return ranked(scored.select(*by, "query_id", "doc_id", "distance", V.dot(F.col("qv"), F.col("v")).alias("score")), [*by, "query_id"], "score", ["doc_id"], k)
+
+    def codes(x: np.ndarray) -> np.ndarray:
+        bits = np.packbits(x >= 0, axis=1)
+        return np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8))).view(np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            groups = np.array(b.column("g").to_pylist(), dtype=object)
+            for g in set(groups) & set(sent.value):
+                at = pa.array(np.flatnonzero(groups == g))
+                ids, v = b.column("doc_id").take(at), b.column("v").take(at)
+                x = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), -1)
+                keys, q = sent.value[g]
+                place = np.empty(len(x), dtype=np.int64)  # ties by the order of ids
+                place[np.argsort(np.array(ids.to_pylist(), dtype=object), kind="stable")] = np.arange(len(x))
+                xc, qc, n = codes(x), codes(q), min(candidates, len(x))
+                for s in range(0, len(q), step := max(1, 4_000_000 // len(x))):
+                    apart = sum(np.bitwise_count(qc[s : s + step, w, None] ^ xc[None, :, w]).astype(np.int64) for w in range(xc.shape[1]))
+                    order = apart * len(x) + place
+                    near = np.argpartition(order, n - 1, axis=1)[:, :n] if n < len(x) else np.broadcast_to(np.arange(n), order.shape)
+                    score = np.einsum("qd,qnd->qn", q[s : s + step], x[near])
+                    row = np.repeat(np.arange(s, s + len(near)), n)
+                    cols = [pa.array([k[j] for k in keys]).take(pa.array(row)) for j in range(len(by) + 1)]
+                    yield pa.RecordBatch.from_arrays([*cols, ids.take(pa.array(near.ravel())), pa.array(np.take_along_axis(apart, near, 1).ravel().astype(np.int32)), pa.array(score.ravel())], names=[*by, "query_id", "doc_id", "distance", "score"])
+
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    schema = ", ".join([*[f"{b} {kind(queries, b)}" for b in by], f"query_id {kind(queries, 'query_id')}", f"doc_id {kind(corpus, 'doc_id')}", "distance int", "score double"])
+    got = corpus.select(key.alias("g"), "doc_id", "v").repartition(parts, "g", "doc_id").mapInArrow(run, schema)
+    near = ranked(got, [*by, "query_id"], "distance", ["doc_id"], candidates, ascending=True, digits=None).drop("rank")
+    return ranked(near, [*by, "query_id"], "score", ["doc_id"], k)

@@ -8,6 +8,7 @@ equi-join after Santhanam et al. 2022, encodings after Jayaram et al. 2024) and
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +35,12 @@ def token_matrix(df: DataFrame, key: list[str], v: str, order: str) -> DataFrame
 
 def exact(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, doc_id, score, rank) over all documents. corpus: doc_id, tokens; queries: query_id, tokens, sent to all
-    tasks in one block of at most dense.QUERY_BLOCK."""
-    pdf = queries.select("query_id", "tokens").limit(dense.QUERY_BLOCK + 1).toPandas()
-    if len(pdf) > dense.QUERY_BLOCK:
-        raise ValueError(f"more than {dense.QUERY_BLOCK} queries in one call: search in blocks")
+    tasks in blocks of about dense.QUERY_BLOCK."""
+    return dense.by_blocks(queries, lambda part: _exact(corpus, part, k))
+
+
+def _exact(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    pdf = queries.select("query_id", "tokens").toPandas()
     sent = corpus.sparkSession.sparkContext.broadcast([(q, np.array([np.asarray(t, np.float64) for t in m])) for q, m in zip(pdf.query_id, pdf.tokens)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,20 +72,28 @@ def rerank(candidates: DataFrame, corpus: DataFrame, queries: DataFrame, k: int)
     return ranked(pairs.select("query_id", "doc_id", maxsim(F.col("q"), F.col("d")).alias("score")), ["query_id"], "score", ["doc_id"], k)
 
 
-def plaid(corpus: DataFrame, queries: DataFrame, k: int, centroids: int = 256, probes: int = 32, full: int = 8192, bits: int = 8) -> DataFrame:
-    """Tokens as centroid and residual of `bits` per column; documents that hold a probed centroid are scored by centroids
-    alone, the best `full` of them with decoded tokens. k is not cut to the corpus."""
-    spark = corpus.sparkSession
+@dataclass(frozen=True)
+class PlaidIndex:
+    """centroids: float rows; spread: half the range of a residual; codes: doc_id, t, c, code (one byte per column)."""
+
+    centroids: np.ndarray
+    spread: float
+    bits: int
+    codes: DataFrame
+
+
+def plaid_build(corpus: DataFrame, centroids: int | None = None, bits: int = 8) -> PlaidIndex:
+    """Every token as its nearest centroid and the residual in `bits` per column. The centroids are fitted on at most
+    TRAIN_TOKENS tokens; by default their number grows with the root of the number of tokens, 256 at least."""
     toks = corpus.select("doc_id", F.posexplode("tokens").alias("t", "v"))
     n = toks.count()
+    wanted = centroids or max(256, min(TRAIN_TOKENS // 16, 1 << int(4 * np.sqrt(max(n, 1))).bit_length() - 1))
     pick = toks if n <= TRAIN_TOKENS else toks.where(F.pmod(F.xxhash64("doc_id", "t"), F.lit(1_000_003)) < int(1_000_003 * TRAIN_TOKENS / n))
-    x = np.array([np.asarray(r.v, np.float64) for r in pick.orderBy(F.xxhash64("doc_id", "t")).select("v").limit(TRAIN_TOKENS).collect()])
-    if len(x) == 0:
-        return spark.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {corpus.schema['doc_id'].dataType.simpleString()}, score double, rank int")
-    c = kmeans(x, min(centroids, len(x)))
-    spread = np.abs(x - c[nearest(x, c)]).max() or 1.0
-    sent = spark.sparkContext.broadcast((c, float(spread)))
-    steps = 2**bits - 1
+    x = pick.select(F.xxhash64("doc_id", "t").alias("h"), "v").toPandas().sort_values("h", kind="stable").head(TRAIN_TOKENS)
+    x = np.stack([np.asarray(v, np.float64) for v in x.v]) if len(x) else np.zeros((0, 1))
+    c = kmeans(x, min(wanted, len(x))) if len(x) else x
+    spread = float(np.abs(x - c[nearest(x, c)]).max() or 1.0) if len(x) else 1.0
+    sent, steps = corpus.sparkSession.sparkContext.broadcast((c, spread)), 2**bits - 1
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, spread = sent.value
@@ -90,9 +101,20 @@ def plaid(corpus: DataFrame, queries: DataFrame, k: int, centroids: int = 256, p
             if b.num_rows:
                 x = np.stack([np.asarray(v, np.float64) for v in b.column("v").to_pylist()])
                 own = nearest(x, c)
-                code = np.clip(np.round((x - c[own] + spread) / (2 * spread) * steps), 0, steps)
-                near = c[own] + code / steps * 2 * spread - spread
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("t"), pa.array(own, pa.int32()), pa.array(list(near), pa.list_(pa.float64()))], names=["doc_id", "t", "c", "v"])
+                code = np.clip(np.round((x - c[own] + spread) / (2 * spread) * steps), 0, steps).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("t"), pa.array(own, pa.int32()), pa.array([r.tobytes() for r in code], pa.binary())], names=["doc_id", "t", "c", "code"])
+
+    return PlaidIndex(c, spread, bits, toks.mapInArrow(encode, f"doc_id {corpus.schema['doc_id'].dataType.simpleString()}, t int, c int, code binary"))
+
+
+def plaid_search(index: PlaidIndex, queries: DataFrame, k: int, probes: int = 32, full: int = 8192) -> DataFrame:
+    """Documents that hold a probed centroid are scored by centroids alone, the best `full` of them with decoded tokens; only
+    these documents' codes are gathered. k is not cut to the corpus."""
+    spark = queries.sparkSession
+    dt, qt = index.codes.schema["doc_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    if not len(index.centroids):
+        return spark.createDataFrame([], f"query_id {qt}, doc_id {dt}, score double, rank int")
+    sent, steps = spark.sparkContext.broadcast((index.centroids, index.spread)), 2**index.bits - 1
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, _ = sent.value
@@ -103,12 +125,23 @@ def plaid(corpus: DataFrame, queries: DataFrame, k: int, centroids: int = 256, p
                 top = np.argpartition(-s, p - 1, axis=1)[:, :p]
                 yield pa.RecordBatch.from_arrays([b.column("query_id").take(pa.array(np.repeat(np.arange(len(s)), p))), pa.array(np.repeat(b.column("t").to_numpy(), p)), pa.array(top.ravel(), pa.int32()), pa.array(np.take_along_axis(s, top, 1).ravel())], names=["query_id", "qt", "c", "s"])
 
-    dt, qt = corpus.schema["doc_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
-    coded = toks.mapInArrow(encode, f"doc_id {dt}, t int, c int, v array<double>")
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, spread = sent.value
+        for b in batches:
+            if b.num_rows:
+                code = np.frombuffer(b"".join(b.column("code").to_pylist()), np.uint8).reshape(b.num_rows, -1)
+                near = c[b.column("c").to_numpy()] + code / steps * 2 * spread - spread
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("t"), pa.array(list(near), pa.list_(pa.float64()))], names=["doc_id", "t", "v"])
+
     probed = queries.select("query_id", F.posexplode("tokens").alias("t", "v")).mapInArrow(ask, f"query_id {qt}, qt int, c int, s double")
-    rough = probed.join(coded.select("doc_id", "c").distinct(), "c").groupBy("query_id", "doc_id", "qt").agg(F.max("s").alias("s")).groupBy("query_id", "doc_id").agg(F.sum("s").alias("rough"))
+    rough = probed.join(index.codes.select("doc_id", "c").distinct(), "c").groupBy("query_id", "doc_id", "qt").agg(F.max("s").alias("s")).groupBy("query_id", "doc_id").agg(F.sum("s").alias("rough"))
     near = ranked(rough, ["query_id"], "rough", ["doc_id"], full)
-    return rerank(near, token_matrix(coded, ["doc_id"], "v", "t"), queries, k)
+    held = index.codes.join(near.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(decode, f"doc_id {dt}, t int, v array<double>")
+    return rerank(near, token_matrix(held, ["doc_id"], "v", "t"), queries, k)
+
+
+def plaid(corpus: DataFrame, queries: DataFrame, k: int, centroids: int | None = None, probes: int = 32, full: int = 8192, bits: int = 8) -> DataFrame:
+    return plaid_search(plaid_build(corpus, centroids, bits), queries, k, probes, full)
 
 
 def planes(dims: int, sims: int, proj: int, reps: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
@@ -152,7 +185,11 @@ def fixed_encodings(df: DataFrame, key: str, query: bool, dims: int, sims: int =
     return df.select(key, "tokens").where(F.size("tokens") > 0).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, v array<double>")
 
 
+def muvera_search(encodings: DataFrame, corpus: DataFrame, queries: DataFrame, k: int, dims: int, candidates: int = 1000, sims: int = 5, proj: int = 16, reps: int = 20, seed: int = 42) -> DataFrame:
+    """Exact inner products of the encodings give candidates, MaxSim re-ranks them. encodings: doc_id, v of the corpus."""
+    q = fixed_encodings(queries, "query_id", True, dims, sims, proj, reps, seed)
+    return rerank(dense.flat(encodings, q, max(candidates, k), []), corpus, queries, k)
+
+
 def muvera(corpus: DataFrame, queries: DataFrame, k: int, dims: int, candidates: int = 1000, sims: int = 5, proj: int = 16, reps: int = 20, seed: int = 42) -> DataFrame:
-    """Exact inner products of the encodings give candidates, MaxSim re-ranks them."""
-    c, q = (fixed_encodings(df, key, isq, dims, sims, proj, reps, seed) for df, key, isq in ((corpus, "doc_id", False), (queries, "query_id", True)))
-    return rerank(dense.flat(c, q, max(candidates, k), []), corpus, queries, k)
+    return muvera_search(fixed_encodings(corpus, "doc_id", False, dims, sims, proj, reps, seed), corpus, queries, k, dims, candidates, sims, proj, reps, seed)

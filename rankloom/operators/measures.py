@@ -97,7 +97,8 @@ def serving_batch(encode: Callable[[list[int]], object], search: Callable[[objec
     the end-to-end median is the sum of the two medians. Batch i starts at query i * batch and wraps around."""
     rows = lambda i: [(i * batch + j) % n for j in range(batch)]
     for i in range(warm_up if n else 0):
-        search(encode(rows(i)))
+        if timed_status(lambda: search(encode(rows(i))))[2] != "ok":
+            return {"batch_size": batch, "status": "oom"}
     enc, ret = [], []
     for i in range(repeats if n else 0):
         asked, ms, status = timed_status(lambda: encode(rows(i)))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions import vectors as V
-from rankloom.operators.dense import QUERY_BLOCK, nlist, pq_parts
+from rankloom.operators.dense import by_blocks, nlist, pq_parts
 from rankloom.operators.topk import ranked
 
 TRAIN_ROWS = 200_000
@@ -265,10 +265,12 @@ def _unpacked(kind: type, fields: dict):
 
 def search(index: CodeIndex, queries: DataFrame, k: int, candidates: int | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank): the best candidates by code (as many as the index was tuned for, if not stated),
-    re-ranked with the full vectors. queries: query_id, v, at most QUERY_BLOCK per call."""
-    pdf = queries.select("query_id", "v").limit(QUERY_BLOCK + 1).toPandas()
-    if len(pdf) > QUERY_BLOCK:
-        raise ValueError(f"more than {QUERY_BLOCK} queries in one call: search in blocks")
+    re-ranked with the full vectors. queries: query_id, v, sent to all tasks in blocks."""
+    return by_blocks(queries, lambda part: _search(index, part, k, candidates))
+
+
+def _search(index: CodeIndex, queries: DataFrame, k: int, candidates: int | None) -> DataFrame:
+    pdf = queries.select("query_id", "v").toPandas()
     spark, c = queries.sparkSession, max(candidates or index.quantiser.state.get("candidates", index.quantiser.candidates), k)
     keys = pdf.query_id.tolist()
     q = np.stack([np.asarray(v, np.float64) for v in pdf.v]) if len(pdf) else np.zeros((0, 1))
@@ -356,27 +358,51 @@ def graph_search(x: np.ndarray, links: np.ndarray, q: np.ndarray, k: int, ef: in
     return np.take_along_axis(sims, order, 1), np.take_along_axis(rows[:, : 2 * k], order, 1)
 
 
-def graph_topk(corpus: DataFrame, queries: DataFrame, k: int, links: int = 32, ef: int = 128) -> DataFrame:
-    """(query_id, doc_id, score, rank): a graph per block of about GRAPH_BLOCK vectors, searched by every query, merged."""
+@dataclass(frozen=True)
+class GraphIndex:
+    """blocks: ids (array), v and links (packed rows) of each block of about GRAPH_BLOCK vectors."""
+
+    blocks: DataFrame
+    links: int
+
+
+def graph_build(corpus: DataFrame, links: int = 32) -> GraphIndex:
     blocks = max(1, math.ceil(corpus.count() / GRAPH_BLOCK))
-    pdf = queries.select("query_id", "v").limit(QUERY_BLOCK + 1).toPandas()
-    if len(pdf) > QUERY_BLOCK:
-        raise ValueError(f"more than {QUERY_BLOCK} queries in one call: search in blocks")
-    q = np.stack([np.asarray(v, np.float64) for v in pdf.v]) if len(pdf) else np.zeros((0, 1))
-    sent = corpus.sparkSession.sparkContext.broadcast((pdf.query_id.tolist(), q))
+    dt = corpus.schema["doc_id"].dataType.simpleString()
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        names, q = sent.value
         part = part.sort_values("doc_id", kind="stable")
         x = np.stack([np.asarray(v, np.float64) for v in part.v])
-        links_ = graph(x, links)
-        ids, out = part.doc_id.to_numpy(), []
-        for i in range(0, len(q), 256):
-            s, rows = graph_search(x, links_, q[i : i + 256], k, ef)
-            r, c = np.nonzero(np.isfinite(s))
-            out.append(pd.DataFrame({"query_id": [names[i + a] for a in r], "doc_id": ids[rows[r, c]], "score": s[r, c]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
-
-    dt, qt = corpus.schema["doc_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
-    found = corpus.select("doc_id", "v", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block")).groupBy("block").applyInPandas(run, f"query_id {qt}, doc_id {dt}, score double")
-    return ranked(found, ["query_id"], "score", ["doc_id"], k)
+        return pd.DataFrame({"ids": [part.doc_id.tolist()], "v": [x.tobytes()], "links": [graph(x, links).astype(np.int32).tobytes()]})
+
+    return GraphIndex(corpus.select("doc_id", "v", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block")).groupBy("block").applyInPandas(run, f"ids array<{dt}>, v binary, links binary"), links)
+
+
+def graph_search_index(index: GraphIndex, queries: DataFrame, k: int, ef: int = 128) -> DataFrame:
+    """(query_id, doc_id, score, rank): every block searched by every query, merged."""
+    return by_blocks(queries, lambda part: _graph_search(index, part, k, ef))
+
+
+def _graph_search(index: GraphIndex, queries: DataFrame, k: int, ef: int) -> DataFrame:
+    pdf = queries.select("query_id", "v").toPandas()
+    q = np.stack([np.asarray(v, np.float64) for v in pdf.v]) if len(pdf) else np.zeros((0, 1))
+    sent = queries.sparkSession.sparkContext.broadcast((pdf.query_id.tolist(), q))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, q = sent.value
+        for b in batches:
+            for ids, v, links in zip(b.column("ids").to_pylist(), b.column("v").to_pylist(), b.column("links").to_pylist()):
+                x = np.frombuffer(v).reshape(len(ids), -1)
+                near = np.frombuffer(links, np.int32).reshape(len(ids), -1).astype(np.int64)
+                for i in range(0, len(q), 256):
+                    s, rows = graph_search(x, near, q[i : i + 256], k, ef)
+                    r, c = np.nonzero(np.isfinite(s))
+                    if len(r):
+                        yield pa.RecordBatch.from_arrays([pa.array([names[i + a] for a in r]), pa.array([ids[a] for a in rows[r, c]]), pa.array(s[r, c])], names=["query_id", "doc_id", "score"])
+
+    dt, qt = index.blocks.schema["ids"].dataType.elementType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    return ranked(index.blocks.mapInArrow(run, f"query_id {qt}, doc_id {dt}, score double"), ["query_id"], "score", ["doc_id"], k)
+
+
+def graph_topk(corpus: DataFrame, queries: DataFrame, k: int, links: int = 32, ef: int = 128) -> DataFrame:
+    return graph_search_index(graph_build(corpus, links), queries, k, ef)

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions import vectors as V
 from rankloom.functions.text import tokens
-from rankloom.operators import bm25, dense, fusion, late, metrics, quantised
+from rankloom.operators import bm25, dense, fusion, late, metrics, quantised, systems
 from rankloom.operators.topk import ranked
-from rankloom.sources import datasets
+from rankloom.session import materialize, scratch_root
+from rankloom.sources import datasets, sinks
 
 DIMS = 64
 
@@ -167,7 +170,7 @@ def binary_codes(spark, sf):
 
 
 def binary_rerank_topk(spark, sf):
-    return _shown(dense.binary_rerank(*_pairs(spark, sf), 10, ["model_id"], DIMS, 100), "model_id")
+    return _shown(dense.binary_rerank(*_pairs(spark, sf), 10, ["model_id"], DIMS), "model_id")
 
 
 def ivf_plan(spark, sf):
@@ -221,6 +224,34 @@ def muvera_topk(spark, sf):
     return _shown(late.muvera(*_matrices(spark, sf), 10, DIMS))
 
 
+# --- systems by name --------------------------------------------------------------------------------------------------
+
+INDEXED = ("dense-hnsw", "dense-opq-ivfpq", "dense-rabitq", "dense-scann", "dense-binary-rerank", "li-fastplaid", "li-muvera")
+
+
+def systems_kept(spark, sf):
+    """Per approximate system: the queries answered, whether the recall of ten against exact search is at least 0.9, and
+    whether an index that was saved and opened again gives the same hits."""
+    rows = []
+    folder = f"{scratch_root(spark).rstrip('/')}/systems-{uuid.uuid4().hex}"
+    for family, data in (("dense", _own(spark, sf)), ("late_interaction", _matrices(spark, sf))):
+        corpus, queries = (materialize(d, f"systems-{n}") for d, n in zip(data, ("corpus", "queries")))
+        exact = systems.search(systems.prepare(systems.resolve(family), corpus, DIMS), queries, 10, DIMS)
+        exact = materialize(exact.select("query_id", "doc_id"), "systems-exact")
+        for name in INDEXED:
+            if name not in systems.SYSTEMS[family]:
+                continue
+            first = systems.prepare(name, corpus, DIMS, folder)
+            hits = materialize(systems.search(first, queries, 10, DIMS).select("query_id", "doc_id"), f"systems-{name}")
+            again = systems.prepare(name, corpus, DIMS, folder)
+            same = first.status == again.status == "not_applicable" or (first.status, again.status) == ("built", "loaded")
+            other = systems.search(again, queries, 10, DIMS).select("query_id", "doc_id")
+            differ = other.exceptAll(hits).count() + hits.exceptAll(other).count()
+            found = exact.join(hits, ["query_id", "doc_id"]).count() / max(1, exact.count())
+            rows.append((name, hits.select("query_id").distinct().count(), found >= 0.9, same and differ == 0))
+    return spark.createDataFrame(rows, "system string, queries long, recall_kept boolean, opened_same boolean")
+
+
 # --- fusion -----------------------------------------------------------------------------------------------------------
 
 
@@ -287,9 +318,9 @@ def bm25_metrics(spark, sf):
 
 
 def rankings_sidecar(spark, sf):
-    r = hit_rankings(spark, sf)
-    per = r.groupBy("system", "dataset", "query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))).alias("h"))
-    return per.select("system", "dataset", "query_id", F.size("h").cast("long").alias("hits"), F.array_join(F.transform("h", lambda x: F.concat_ws(":", x["rank"].cast("string"), x["doc_id"])), ",").alias("ranking"))
+    key = ["system", "dataset", "query_id"]
+    per = sinks.sidecar(hit_rankings(spark, sf), dataset(spark, sf).qrels, key, key[1:])
+    return per.select(*key, F.size("hits").cast("long").alias("hits"), F.array_join(F.transform("hits", lambda x: F.concat_ws(":", x["rank"].cast("string"), x["doc_id"])), ",").alias("ranking"))
 
 
 def ideal_ranking(spark, sf):
@@ -302,7 +333,7 @@ QUERIES = {
     for f in (
         ds_docs, ds_queries_with_qrels, ds_qrels, ds_qrels_rows, ds_query_limit, ds_bright_explode, token_counts, tf, df, doc_stats, corpus_stats, bm25_topk,
         dense_flat_topk, dense_flat_expression_topk, dense_truncated_topk, dense_sanitised, binary_codes, binary_rerank_topk, ivf_plan, ivfpq_topk, rabitq_topk,
-        ah_topk, hnsw_like_topk, maxsim_topk, plaid_topk, muvera_topk, metrics_per_query, metrics_mean, bm25_metrics, rankings_sidecar, ideal_ranking,
+        ah_topk, hnsw_like_topk, maxsim_topk, plaid_topk, muvera_topk, systems_kept, metrics_per_query, metrics_mean, bm25_metrics, rankings_sidecar, ideal_ranking,
     )
 } | {f"rrf_{s.removeprefix('hybrid-rrf-').replace('-', '_')}": _fused(s) for s in fusion.SYSTEMS}
 QUERIES |= {f"rrf_{s.removeprefix('hybrid-rrf-').replace('-', '_')}_by_model": _fused_by_model(s) for s in fusion.SYSTEMS if "dense" in fusion.SYSTEMS[s]}
@@ -401,11 +432,13 @@ SELECT vec_id, round(sqrt(list_dot_product(v, v)), 6) AS norm, round(v[1], 6) AS
     "binary_codes": "SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CASE WHEN x >= 0 THEN '1' ELSE '0' END), '') AS code, len(list_filter(embedding, lambda x: x >= 0)) AS ones FROM embeddings",
     "binary_rerank_topk": f"""WITH p AS (SELECT i.model_id, query_id, doc_id, list_dot_product(i.v, q.v) AS score, list_sum(list_transform(list_zip(i.v, q.v), lambda x: CASE WHEN (x[1] >= 0) <> (x[2] >= 0) THEN 1 ELSE 0 END)) AS h
   FROM {_valid('dense_index', 'doc_id')} i JOIN {_valid('dense_queries', 'query_id')} q USING (model_id)),
-s AS (SELECT * EXCLUDE (c) FROM (SELECT *, row_number() OVER (PARTITION BY model_id, query_id ORDER BY h, doc_id) AS c FROM p) WHERE c <= 100) """ + _CUT.format(by="model_id, ", k=10),
+s AS (SELECT * EXCLUDE (c) FROM (SELECT *, row_number() OVER (PARTITION BY model_id, query_id ORDER BY h, doc_id) AS c FROM p) WHERE c <= 1000) """ + _CUT.format(by="model_id, ", k=10),
     "ivf_plan": f"""WITH c AS (SELECT model_id, count(*) AS n FROM {_valid('dense_index')} GROUP BY 1)
 SELECT model_id, n, CASE WHEN n <= 1 THEN 1 ELSE greatest(1, least(greatest(16, floor(4 * sqrt(n))::BIGINT), 256, n)) END AS nlist,
   coalesce(list_filter([32, 16, 8, 4, 2, 1], lambda m: n >= greatest(256, 128 * m))[1], 32)::BIGINT AS m FROM c""",
     "maxsim_topk": f"WITH d AS (SELECT floor(vec_id / 4)::BIGINT AS doc_id, list(embedding::DOUBLE[] ORDER BY vec_id) AS m FROM embeddings GROUP BY 1), s AS (SELECT q.doc_id AS query_id, d.doc_id, {_MAXSIM} AS score FROM d, d q WHERE q.doc_id % 20 = 0) " + _CUT.format(by="", k=10),
+    "systems_kept": f"""SELECT s.system, CASE WHEN s.system LIKE 'li-%' THEN (SELECT count(DISTINCT vec_id // 4) FROM embeddings WHERE (vec_id // 4) % 20 = 0) ELSE (SELECT count(*) FROM embeddings WHERE vec_id % 20 = 0) END AS queries, true AS recall_kept, true AS opened_same
+  FROM (VALUES {', '.join(f"('{x}')" for x in INDEXED)}) s(system)""",
     "metrics_per_query": f"WITH {_HITS}, {_RELS}, {_metrics_sql('r', 'system, ')} SELECT system, dataset, query_id, {_M} FROM scored",
     "metrics_mean": f"WITH {_HITS}, {_RELS}, {_metrics_sql('r', 'system, ')} SELECT system, dataset, count(*) AS queries, {_MM} FROM scored GROUP BY 1, 2",
     "bm25_metrics": f"WITH {_DOCS}, {_RELS}, {_QS}, {_TOK}, {_BM25}, {_metrics_sql('sparse', '')} SELECT count(*) AS queries, {_MM} FROM scored",

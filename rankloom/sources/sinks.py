@@ -31,11 +31,12 @@ def write_facts(facts: DataFrame, path: str) -> None:
     facts.write.mode("overwrite").json(path, ignoreNullFields=False)
 
 
-def sidecar(rankings: DataFrame, qrels: DataFrame, query: list[str]) -> DataFrame:
-    """(query, qrels map, hits ordered by rank)."""
+def sidecar(rankings: DataFrame, qrels: DataFrame, query: list[str], judged: list[str] | None = None) -> DataFrame:
+    """(query, qrels map, hits ordered by rank). judged: the columns of query that judgements have, if not all."""
+    key = judged or query
     hits = rankings.groupBy(*query).agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "score"))).alias("hits"))
-    rels = qrels.groupBy(*query).agg(F.map_from_entries(F.collect_list(F.struct("doc_id", "rel"))).alias("qrels"))
-    return hits.join(rels, query, "left")
+    rels = qrels.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("doc_id", "rel"))).alias("qrels"))
+    return hits.join(rels, key, "left")
 
 
 def skip_rows(spark: SparkSession, cells: list[tuple[str, str, str, str]], status: str, reason: str) -> DataFrame:
