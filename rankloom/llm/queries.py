@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.text import byte_tokens
 from rankloom.llm import mixing, neighbours, packing, sentences, topn
+from rankloom.operators import dense
 from rankloom.session import materialize
 
 
@@ -23,6 +24,19 @@ def p2_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return neighbours.neighbour_rows(neighbours.lists(index, queries, frozenset({"ii", "qi"}), 10, neighbours.SearchParameters()))
 
 
+def p2_neighbours_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """Per model the queries (vectors whose id is divisible by 20) that have an index vector beside them, and whether the lists
+    of p2_neighbours hold at least 0.9 of their ten nearest by exact search."""
+    index, queries = (neighbours.valid_vectors(_t(spark, sf, t), 64, t == "dense_queries") for t in ("dense_index", "dense_queries"))
+    vector = F.transform("embedding", lambda x: x.cast("double"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    ready = lambda df, key: df.select("model_id", F.col("vec_id").alias(key), vector.alias("v")).distinct().withColumn("_n", norm).withColumn("v", F.transform("v", lambda x: x / F.col("_n"))).drop("_n")
+    asked = materialize(ready(index.unionByName(queries).where("vec_id % 20 = 0"), "query_id"), "nn-asked")
+    exact = dense.flat(ready(index, "doc_id"), asked, 10, ["model_id"], exclude_self=True).select("model_id", F.col("query_id").alias("vec_id"), F.col("doc_id").alias("neighbour"))
+    found = p2_neighbours(spark, sf).where("vec_id % 20 = 0").select("model_id", "vec_id", "neighbour", F.lit(1).alias("hit"))
+    return exact.join(found, ["model_id", "vec_id", "neighbour"], "left").groupBy("model_id").agg(F.count_distinct("vec_id").alias("queries"), (F.avg(F.coalesce("hit", F.lit(0))) >= 0.9).alias("recall_kept"))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return topn.top_n(_t(spark, sf, "hits"), ["system", "query_id"], "doc_id", "score", 10).select("system", "query_id", "doc_id", "place")
 
@@ -92,7 +106,7 @@ def p8_sentences(spark: SparkSession, sf: str) -> DataFrame:
     return sentences.sentences(_t(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p5_found, p6_found, p6_sequences, p6_pieces, p6_fill, p6_kept, p7_found, p7_shares, p7_mixture, p7_shares_kept, p8_found, p8_sentences)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p2_neighbours_kept, p5_found, p6_found, p6_sequences, p6_pieces, p6_fill, p6_kept, p7_found, p7_shares, p7_mixture, p7_shares_kept, p8_found, p8_sentences)}
 
 _VALID = """SELECT vec_id, model_id, embedding::DOUBLE[] AS e FROM {} WHERE vec_id IS NOT NULL AND model_id IS NOT NULL AND len(embedding) = 64
   AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"""
@@ -116,6 +130,9 @@ r AS (SELECT a, b, s, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS k
   UNION ALL SELECT a, b, s, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) FROM qi
   UNION ALL SELECT b, a, s, row_number() OVER (PARTITION BY b ORDER BY s DESC, a) FROM qi)
 SELECT DISTINCT least(x.a, x.b) AS vec_a, greatest(x.a, x.b) AS vec_b FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.k <= 10 AND y.k <= 10 AND x.s >= 0.9""",
+    "p2_neighbours_kept": f"""
+WITH i AS (SELECT DISTINCT vec_id, model_id FROM ({_VALID.format("dense_index")})), q AS (SELECT * FROM i UNION SELECT DISTINCT vec_id, model_id FROM ({_VALID.format("dense_queries")}))
+SELECT model_id, count(DISTINCT vec_id) AS queries, true AS recall_kept FROM q WHERE vec_id % 20 = 0 AND EXISTS (SELECT 1 FROM i WHERE i.model_id = q.model_id AND i.vec_id <> q.vec_id) GROUP BY 1""",
     "p5_found": """
 WITH best AS (SELECT system, query_id, doc_id, max(score) AS score FROM hits
   WHERE system IS NOT NULL AND query_id IS NOT NULL AND doc_id IS NOT NULL AND score IS NOT NULL AND isfinite(score) GROUP BY ALL)
