@@ -4,7 +4,11 @@ import numpy as np
 import pytest
 from pyspark.sql.classic.dataframe import DataFrame
 
-from rankloom.operators import dense, late, scan
+from pyspark.sql import functions as F
+
+from rankloom.functions.text import tokens
+from rankloom.operators import bm25, dense, late, scan
+from rankloom.operators.topk import ranked
 from rankloom.plans import retrieval_queries
 
 
@@ -61,3 +65,21 @@ def test_vectors_that_are_not_finite_take_no_part(spark):
 @pytest.mark.parametrize("name", ["dense_flat_topk", "dense_truncated_topk"])
 def test_registered_dense_queries_gather_nothing(spark, data, name, nothing_gathered):
     assert retrieval_queries.QUERIES[name](spark, data).count() > 0
+
+
+def test_bm25_in_small_blocks(spark, monkeypatch, tmp_path):
+    """Against the weights of the index, joined and added up; terms of one document and of all, repeated queries, k cut."""
+    monkeypatch.setattr(bm25, "BLOCK_DOCS", 48)
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(200)]
+    text = lambda n: " ".join(words[int(i)] for i in rng.zipf(1.4, n) if i < 200)
+    docs = spark.createDataFrame([(f"s{i % 2}", f"d{i:03d}", "", text(int(rng.integers(0, 30)))) for i in range(400)], "s string, doc_id string, title string, text string")
+    q = spark.createDataFrame([(f"s{i % 2}", f"q{i:02d}", text(6) if i % 5 else "w1 w2") for i in range(40)], "s string, query_id string, text string")
+    index = bm25.build(docs, ("s",))
+    terms = q.select("s", "query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    want = ranked(index.weights().join(terms, ["s", "term"]).groupBy("s", "query_id", "doc_id").agg(F.sum("w").alias("score")), ["s", "query_id"], "score", ["doc_id"], 9)
+    plan = bm25.search(index, q, 9)
+    assert listed(plan) == listed(want)
+    assert "Join" not in plan._jdf.queryExecution().executedPlan().toString().replace("BroadcastHashJoin", "")
+    index.save(str(tmp_path / "i"))
+    assert listed(bm25.search(bm25.Bm25Index.open(spark, str(tmp_path / "i"), ("s",)), q, 9)) == listed(want)
