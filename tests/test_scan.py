@@ -83,3 +83,11 @@ def test_bm25_in_small_blocks(spark, monkeypatch, tmp_path):
     assert "Join" not in plan._jdf.queryExecution().executedPlan().toString().replace("BroadcastHashJoin", "")
     index.save(str(tmp_path / "i"))
     assert listed(bm25.search(bm25.Bm25Index.open(spark, str(tmp_path / "i"), ("s",)), q, 9)) == listed(want)
+
+
+@pytest.mark.parametrize("name", sorted(n for n in retrieval_queries.QUERIES if n.startswith("rrf_")))
+def test_fusions_move_lists_and_gather_nothing(spark, data, name, nothing_gathered):
+    """No row per pair of query and document is shuffled: after the one exchange of lists they are taken apart."""
+    df = retrieval_queries.QUERIES[name](spark, data)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert df.count() > 0 and plan.count("Exchange hashpartitioning") == 1
