@@ -62,7 +62,7 @@ def test_vectors_that_are_not_finite_take_no_part(spark):
     assert got == {"query_id0000": [("doc_id0000", 1.0), ("doc_id0002", 0.5)]}
 
 
-@pytest.mark.parametrize("name", ["dense_flat_topk", "dense_truncated_topk"])
+@pytest.mark.parametrize("name", ["dense_flat_topk", "dense_truncated_topk", "binary_rerank_topk"])
 def test_registered_dense_queries_gather_nothing(spark, data, name, nothing_gathered):
     assert retrieval_queries.QUERIES[name](spark, data).count() > 0
 
@@ -91,3 +91,15 @@ def test_fusions_move_lists_and_gather_nothing(spark, data, name, nothing_gather
     df = retrieval_queries.QUERIES[name](spark, data)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert df.count() > 0 and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_codes_in_small_blocks(spark, monkeypatch, nothing_gathered):
+    monkeypatch.setattr(scan, "BLOCK_VALUES", 40 * 8)
+    rng = np.random.default_rng(7)
+    x, q = rng.standard_normal((500, 8)), rng.standard_normal((150, 8))
+    for candidates in (30, 60):  # fewer and more than a block has
+        got = listed(dense.binary_rerank(table(spark, "doc_id", x, "double"), table(spark, "query_id", q, "double"), 5, [], 8, candidates))
+        for i, v in enumerate(q):
+            near = np.lexsort((np.arange(500), ((x >= 0) != (v >= 0)).sum(1)))[:candidates]
+            want = near[np.lexsort((near, -np.round(x[near] @ v, 9)))][:5]
+            assert [d for d, _ in got[f"query_id{i:04d}"]] == [f"doc_id{j:04d}" for j in want]
