@@ -103,3 +103,8 @@ def test_codes_in_small_blocks(spark, monkeypatch, nothing_gathered):
             near = np.lexsort((np.arange(500), ((x >= 0) != (v >= 0)).sum(1)))[:candidates]
             want = near[np.lexsort((near, -np.round(x[near] @ v, 9)))][:5]
             assert [d for d, _ in got[f"query_id{i:04d}"]] == [f"doc_id{j:04d}" for j in want]
+
+
+def test_bm25_metrics_moves_lists(spark, data):
+    plan = retrieval_queries.bm25_metrics(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_position" in plan and "row_number() windowspecdefinition(dataset" in plan and "posexplode" not in plan
