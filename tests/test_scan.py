@@ -44,6 +44,27 @@ def test_scan_in_small_blocks_without_gathering(spark, monkeypatch, nothing_gath
         assert [d for d, _ in got[f"query_id{i:04d}"]] == [f"doc_id{j:04d}" for j in want]
 
 
+@pytest.mark.parametrize("total", [True, False])
+def test_long_vectors_first(spark, monkeypatch, total):
+    """Short vectors are not scored where the lists are full of better ones; equal scores of short and long ones stay in order of id."""
+    monkeypatch.setattr(scan, "BLOCK_VALUES", 40 * 8)
+    rng = np.random.default_rng(5)
+    nd, nq, lengths = rng.integers(1, 3, 600), rng.integers(1, 3, 300), rng.permutation(np.repeat([8, 1, 0.5], 200))
+    x, q = rng.integers(-2, 3, (600, 2, 8)) * lengths[:, None, None] / 8, rng.integers(-2, 3, (300, 2, 8)).astype(float)
+    kind = "tokens array<array<double>>"
+    folder = scan.store(spark.createDataFrame([(f"d{i:04d}", v[:n].tolist()) for i, (v, n) in enumerate(zip(x, nd))], f"doc_id string, {kind}"), [])
+    scored, limits = [], scan.limits
+    monkeypatch.setattr(scan, "limits", lambda s, *a: scored.append(s.size) or limits(s, *a))
+    for k, most in ((5, 0.6), (150, 1)):
+        scored.clear()
+        r, i, s = scan.search(folder, "", nq, np.concatenate([v[:n] for v, n in zip(q, nq)]), k, total)
+        assert sum(scored) < most * 300 * 600 + 1
+        for j in range(300):
+            want = np.array([(m.sum() if total else m.max()) for m in ((q[j, : nq[j]] @ v[:n].T).max(1) for v, n in zip(x, nd))])
+            order = np.lexsort((np.arange(600), -np.round(want, 9)))[:k]
+            assert i[r == j].tolist() == order.tolist() and np.allclose(s[r == j], want[order])
+
+
 def test_all_equal_documents_stay_at_k(spark, nothing_gathered):
     x = np.ones((500, 4))
     got = listed(dense.flat(table(spark, "doc_id", x), table(spark, "query_id", x[:2]), 5, []))
