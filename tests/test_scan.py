@@ -65,6 +65,27 @@ def test_long_vectors_first(spark, monkeypatch, total):
             assert i[r == j].tolist() == order.tolist() and np.allclose(s[r == j], want[order])
 
 
+@pytest.mark.parametrize("held, read", [(4_000_000, 1), (60 * 8, 2), (0, 3)])
+def test_few_long_vectors_of_many_blocks_are_searched_together(spark, monkeypatch, held, read):
+    """Two long classes with four documents in a block each: scored blocks at a time, and read in one pass if there is room."""
+    monkeypatch.setattr(scan, "BLOCK_VALUES", 40 * 8)
+    monkeypatch.setattr(scan, "HELD_VALUES", held)
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((600, 8))
+    x *= (np.where(np.arange(600) % 10 == 0, 9, np.where(np.arange(600) % 10 == 1, 3, 1)) / np.linalg.norm(x, axis=1))[:, None]
+    q = rng.standard_normal((200, 8))
+    folder = scan.store(spark.createDataFrame([(f"d{i:04d}", [v.tolist()]) for i, v in enumerate(x)], "doc_id string, tokens array<array<double>>"), [])
+    calls, passes, limits, blocks = [], [], scan.limits, scan.blocks
+    monkeypatch.setattr(scan, "limits", lambda s, *a: calls.append(s.shape[1]) or limits(s, *a))
+    monkeypatch.setattr(scan, "blocks", lambda f, g, columns: passes.append("m" in columns) or blocks(f, g, columns))
+    r, i, s = scan.search(folder, "", np.ones(200, np.int64), q, 30, True)
+    assert min(calls[:6]) >= 20  # of 60 long ones; four are in a block
+    assert sum(passes) == read
+    for j in range(200):
+        want = np.lexsort((np.arange(600), -np.round(q[j] @ x.T, 9)))[:30]
+        assert i[r == j].tolist() == want.tolist() and np.allclose(s[r == j], q[j] @ x[want].T)
+
+
 def test_all_equal_documents_stay_at_k(spark, nothing_gathered):
     x = np.ones((500, 4))
     got = listed(dense.flat(table(spark, "doc_id", x), table(spark, "query_id", x[:2]), 5, []))
