@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,3 +90,21 @@ def test_queries_of_equal_terms_are_in_one_task(spark):
     placed = scan.spread(q, folder, [], 16_384, "n", "terms").withColumn("p", F.spark_partition_id())
     assert placed.count() == 90
     assert [r.n for r in placed.groupBy("terms").agg(F.count_distinct("p").alias("n")).collect()] == [1, 1, 1]
+
+
+@pytest.mark.parametrize("rows", [1_024, 2])
+def test_what_neighbours_begin_with_is_added_up_once(spark, monkeypatch, rows):
+    """Queries of many common terms that differ in a rare one; with and without room for rows of all terms."""
+    monkeypatch.setattr(bm25, "ROWS", rows)
+    text = lambda i: " ".join([w for j, w in enumerate("abcde") if i % (j + 2)] + [f"n{i % 40}"] * (i % 3 + 1))
+    index = bm25.build(spark.createDataFrame([(f"d{i:03d}", "", text(i)) for i in range(400)], "doc_id string, title string, text string"))
+    q = spark.createDataFrame([(f"q{i:02d}", f"n{i} e d c b a") for i in range(40)], "query_id string, text string")
+    pairs = index.weights().join(q.select("query_id", F.explode(F.split("text", " ")).alias("term")), "term").groupBy("query_id", "doc_id").agg(F.sum("w").alias("score"))
+    assert listed(bm25.search(index, q, 9), ["query_id"]) == listed(ranked(pairs, ["query_id"], "score", ["doc_id"], 9), ["query_id"])
+    calls, add, run = [], np.add, {}
+    monkeypatch.setattr(scan, "mapped", lambda *a: run.update(f=a[5]))
+    bm25.lists(index, q, 9)
+    monkeypatch.setattr(np, "add", lambda *a, **b: calls.append(1) or add(*a, **b))
+    terms = pa.array([["a", "b", "c", "d", "e", f"n{i}"] for i in range(40)])
+    assert sum(b.num_rows for b in run["f"](pa.table({"query_id": [f"q{i:02d}" for i in range(40)], "terms": terms}), "")) == 40
+    assert len(calls) <= 4 + 40  # not 5 for each of the 40
