@@ -62,6 +62,16 @@ def test_no_row_of_a_document_is_sorted_or_shuffled(spark, parts):
     assert "Window" not in plan and "Generate" not in plan and "Aggregate" not in plan and plan.count("Exchange") == 1
 
 
+def test_columns_are_in_the_order_shown(spark, parts):
+    """A select in the order shown is no copy of each row."""
+    models = spark.createDataFrame([("a",), ("b",)], "model_id string")
+    got = fusion.rrf_lists(list(parts), ["model_id", "query_id"], all_of=models)
+    assert got.columns == ["model_id", "query_id", "rank", "doc_id", "score"]
+    assert shuffles(got.select("model_id", "query_id", "rank", "doc_id", "score")).index("MapInArrow") < 60
+    two = fusion.rrf_lists([parts[0], parts[2]], ["query_id"])
+    assert two.columns == ["query_id", "rank", "doc_id", "score"]
+
+
 def test_scores_are_rounded_as_spark_does(spark):
     parts = 1 / (60 + np.arange(1, 101))
     s = np.unique(np.r_[parts, (parts[:, None] + parts).ravel(), (parts[:, None] + parts + 1 / 128).ravel()])
